@@ -3,8 +3,12 @@ executors share, lineage cuts, and connected components."""
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,3 +69,24 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+@functools.cache
+def _zipped() -> str:
+    root = Path(__file__).resolve().parent.parent
+    path = f"{tempfile.mkdtemp(prefix='termloom-')}/{root.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    return path
+
+
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """query, after giving this package to the executors: their Python may not have it."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.sparkContext.addPyFile(_zipped())
+        return query(spark, sf_dir)
+
+    return run

@@ -1,9 +1,15 @@
 """Queries and SQL of this subpackage, by name."""
 
-from . import near_dedup
+from . import decontaminate, near_dedup, toxicity
+from .common import shipped
 
 QUERIES = {
-    "op6_near_dedup": near_dedup.op6_near_dedup,
+    name: shipped(query)
+    for name, query in {
+        "op6_near_dedup": near_dedup.op6_near_dedup,
+        "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op10_toxicity": toxicity.op10_toxicity,
+    }.items()
 }
 
 ORACLE_SQL: dict[str, str] = {}
