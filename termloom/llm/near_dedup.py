@@ -8,10 +8,11 @@ the set is empty and the document is linked with nothing. Two documents are link
 
 Plan. One pass computes sets, a 128-bit fingerprint of each set and the band keys. Equal sets
 collapse to one representative by a pre-aggregated group-by, so groups of exact copies cost one
-row. Then two rounds: (1) in each bucket of a few bands every member is verified against the
-bucket's smallest member, which joins the members of a tight group in linear work; (2) in the
-buckets of all bands that still hold several components, members of different components are
-verified. Pairs inside a component are never formed, and no bucket is capped.
+row. Then two rounds: (1) every member of a bucket is verified against the bucket's most central
+member, the one that shares its buckets with most others (the original among its edited copies),
+which joins the members of a group in linear work; (2) in the buckets that still hold several
+components, members of different components are verified. Pairs inside a component are never
+formed, and no bucket is capped.
 
 With 32 bands of 4 rows a pair at similarity 0.75 shares a bucket with probability 1 - 6e-6.
 
@@ -32,8 +33,8 @@ from . import textkernel as tk
 from .common import connected_components, staged, table
 
 BANDS, ROWS = 32, 4
-#: Bands whose buckets are joined to their smallest member in the first round.
-STAR_BANDS = 8
+#: Up to so many ids are sent to every task to pick texts by; beyond, texts are joined by id.
+ID_BROADCAST = 500_000
 SHINGLE = 5
 
 
@@ -136,6 +137,9 @@ def _similar(shared: Column, na: Column, nb: Column, percent: int) -> Column:
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The (a, b) rows that are linked, by the full sets of both."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = staged(nodes, "wanted")
+    if nodes.count() <= ID_BROADCAST:
+        nodes = F.broadcast(nodes)
     need = texts.join(nodes, texts.doc_id == nodes.node, "left_semi").select("doc_id", "text")
     sets = staged(need.mapInArrow(_sets, "node long, set array<long>").dropDuplicates(["node"]), "sets")
     x = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
@@ -155,10 +159,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     keys = signed.select("doc_id", "n_shingles", "f1", "f2", "keys").join(
         sets.withColumnRenamed("node", "doc_id"), ["doc_id", "f1", "f2", "n_shingles"], "left_semi"
     )
-    bucketed = keys.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.posexplode("keys").alias("band", "key"))
-    shared = bucketed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("head")).where("size > 1")
-    buckets = staged(bucketed.join(shared.select("key", "head"), "key").select("key", "band", "head", "node", "n"), "buckets")
-    stars = buckets.where((F.col("band") < STAR_BANDS) & (F.col("node") != F.col("head"))).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    bucketed = keys.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    shared = bucketed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    buckets = staged(bucketed.join(shared, "key").select("key", "node", "n", "size"), "buckets")
+    central = buckets.groupBy("node").agg(F.sum("size").alias("weight"))
+    heads = buckets.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top"))
+    stars = buckets.join(heads.select("key", (-F.col("top.minus")).alias("head")), "key").where("node <> head")
+    stars = staged(stars.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct(), "stars")
     links = staged(_verified(stars, docs, percent), "links")
     labels = staged(connected_components(links), "labels")
     # second round: only across components, in every bucket
