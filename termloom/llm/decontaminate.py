@@ -7,11 +7,11 @@ at most floor(n * rate) to the item (rate 0.2 unless set).
 
 The CGK walk reads a window with a pointer that stays or moves on by a random bit of the step
 and the word read, which maps edit distance to Hamming distance; a table's key is the words read
-at a few sampled steps. Windows of an item's size begin at every word of every document. Before
-the walk a window must hold as many of the benchmark's rare words as any leaking window has to
-(a necessary condition, so no leak is lost to it). Windows that share a key with an item in any
-of TABLES tables are verified by alignment of the item against the words around the window.
-Unchanged passages always share all keys; measured recall at the full edit rate is in README.
+at a few sampled steps. Windows of an item's size may begin at every word of every document. Only
+those are walked that hold as many of the item's rarest words (by counts over the whole corpus) as
+every leaking window has to: a necessary condition, so no leak is lost to it. Windows that share a
+key with the item in any of TABLES tables are verified by alignment of the item against the words
+around the window. Unchanged passages always share all keys.
 
 The items are the query set and are held in blocks of at most BLOCK_CHARS characters; every
 block is run against all documents in one narrow pass without a shuffle.
@@ -35,6 +35,9 @@ from .common import table
 RATE = 0.2
 WALKS, SAMPLES, BITS = 5, 4, 4
 TABLES = WALKS * SAMPLES
+#: Words of an item, beyond its allowed edits, by which its places are looked up.
+SEEDS = 3
+MASK = np.uint64((1 << 20) - 1)
 BLOCK_CHARS = 8_000_000
 HITS = "doc_id long, item_id long, distance long, first_word long, item_words long"
 
@@ -66,23 +69,51 @@ def cgk_keys(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
 
 
 class Index:
-    """A block of items, by their number of words."""
+    """A block of items, and for each the words by which its places are looked up.
+
+    An item of n words and k allowed edits keeps at least n - k of its words in any leaking run,
+    so of any k + SEEDS of its words at least SEEDS stand in a run of n + k words of the
+    document. The item's rarest words in the corpus are taken; an item with fewer words than that
+    takes all of them."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float):
         data, off = tk.text_buffer(pa.array([t for _, t in items], pa.string()))
         words, woff = _words(data, off)
-        lists = [(i, words[woff[k] : woff[k + 1]]) for k, (i, _) in enumerate(items) if woff[k + 1] > woff[k]]
-        vocab, df = np.unique(np.concatenate([np.unique(w) for _, w in lists] or [np.zeros(0, np.uint64)]), return_counts=True)
-        self.rare = vocab[df <= max(2, len(lists) // 100)]
-        self.classes = []
-        for n in sorted({len(w) for _, w in lists}):
-            own = [(i, w) for i, w in lists if len(w) == n]
-            edits = int(n * rate)
-            floor = min(int(np.isin(w, self.rare).sum()) for _, w in own) - edits
-            flat = np.concatenate([w for _, w in own])
-            keys = cgk_keys(flat, np.arange(len(own)) * n, n)
-            tables = [(k[order := np.argsort(k, kind="stable")], order) for k in keys]
-            self.classes.append((n, edits, floor, own, tables))
+        self.items = [(i, words[woff[k] : woff[k + 1]]) for k, (i, _) in enumerate(items) if woff[k + 1] > woff[k]]
+        self.size = np.array([len(w) for _, w in self.items], np.int64)
+        self.edits = (self.size * rate).astype(np.int64)
+        self.vocab = np.unique(np.concatenate([w for _, w in self.items] or [np.zeros(0, np.uint64)]))
+        self.look_up(np.ones(len(self.vocab)))
+
+    def look_up(self, freq: np.ndarray) -> None:
+        """Choose the words of each item by their counts in the corpus, freq along vocab."""
+        token, item, self.need = [], [], np.zeros(len(self.items), np.int64)
+        for x, (_, w) in enumerate(self.items):
+            at = np.argsort(freq[np.searchsorted(self.vocab, w)], kind="stable")[: self.edits[x] + SEEDS]
+            seeds = np.unique(w[at])
+            token.append(seeds)
+            item.append(np.full(len(seeds), x))
+            self.need[x] = len(at) - self.edits[x]
+        token, item = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (token, item))
+        order = np.lexsort((item, token))
+        self.token, first = np.unique(token[order], return_index=True)
+        self.first = np.append(first, len(order))
+        self.item = item[order].astype(np.int64)
+        self.mask = bit_mask(self.token)
+        self.keys = [cgk_keys(w, np.zeros(1, np.int64), len(w))[:, 0] for _, w in self.items]
+
+
+def bit_mask(words: np.ndarray) -> np.ndarray:
+    """A table that is False for most hashes not in words."""
+    mask = np.zeros(1 << 20, bool)
+    mask[(words & MASK).astype(np.int64)] = True
+    return mask
+
+
+def vocab_counts(vocab: np.ndarray, mask: np.ndarray, words: np.ndarray) -> np.ndarray:
+    words = words[mask[(words & MASK).astype(np.int64)]]
+    at = np.minimum(np.searchsorted(vocab, words), len(vocab) - 1)
+    return np.bincount(at[vocab[at] == words], minlength=len(vocab))
 
 
 def best_alignment(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
@@ -99,55 +130,59 @@ def best_alignment(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+def _places(index: Index, words: np.ndarray, woff: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, start) of the windows that hold enough of an item's looked-up words."""
+    p = np.flatnonzero(index.mask[(words & MASK).astype(np.int64)])
+    at = np.minimum(np.searchsorted(index.token, words[p]), len(index.token) - 1)
+    known = index.token[at] == words[p]
+    p, at = p[known], at[known]
+    n = index.first[at + 1] - index.first[at]
+    pos = np.repeat(p, n)
+    item = index.item[np.repeat(index.first[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    doc = np.searchsorted(woff, pos, "right") - 1
+    group = doc * len(index.items) + item
+    order = np.lexsort((pos, group))
+    pos, item, doc, group = pos[order], item[order], doc[order], group[order]
+    last = np.arange(len(pos)) + index.need[item] - 1
+    end = np.minimum(last, max(0, len(pos) - 1))
+    width = index.size[item] + index.edits[item]
+    ok = (last < len(pos)) & (group[end] == group) & (pos[end] - pos < width)
+    lo = np.maximum(pos[end] - width + 1, woff[doc])[ok]
+    hi, item, doc = pos[ok], item[ok], doc[ok]
+    # windows cut off by the end of their text begin earlier instead, or at its first word
+    fit = np.maximum(woff[doc + 1] - index.size[item], woff[doc])
+    lo, hi = np.minimum(lo, fit), np.minimum(hi, fit)
+    n = hi - lo + 1
+    start = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    found = np.unique(np.stack([np.repeat(item, n), start, np.repeat(doc, n)]), axis=1)
+    return found[2], found[0], found[1]
+
+
 def _leaks(index: Index, words: np.ndarray, woff: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
     """{(text, item): (distance, first word, item's words)}."""
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
-    total = len(words)
-    if not total:
+    if not len(words) or not len(index.items):
         return found
-    at = np.minimum(np.searchsorted(index.rare, words), max(0, len(index.rare) - 1))
-    rare = index.rare[at] == words if len(index.rare) else np.zeros(total, bool)
-    count = np.concatenate([[0], np.cumsum(rare)])
-    least = min((c[2] for c in index.classes), default=1)
-    widest = max((c[0] + c[1] for c in index.classes), default=1)
-    every = np.arange(total)
-    likely = every if least < 1 else every[count[np.minimum(every + widest, total)] - count[every] >= least]
-    doc_of = np.searchsorted(woff, likely, "right") - 1
-    left = woff[doc_of + 1] - likely
-    for n, edits, floor, own, tables in index.classes:
-        ok = left >= n - edits
-        if floor >= 1:
-            ok &= count[np.minimum(likely + n + edits, total)] - count[likely] >= floor
-        starts, docs, room = likely[ok], doc_of[ok], left[ok]
-        if not len(starts):
-            continue
-        # windows cut off by the end of their text begin earlier instead
-        starts = np.where(room < n, np.maximum(starts - (n - room), woff[docs]), starts)
-        whole = woff[docs + 1] - starts >= n
-        tried: set[tuple[int, int]] = set()
-        short = np.unique(docs[~whole])
-        for d in short:  # a text shorter than the item: align with the whole text
-            tried.update((int(woff[d]), k) for k in range(len(own)))
-        starts = np.unique(starts[whole])
-        keys = cgk_keys(words, starts, n)
-        for (table_keys, order), k in zip(tables, keys, strict=True):
-            lo, hi = np.searchsorted(table_keys, k, "left"), np.searchsorted(table_keys, k, "right")
-            for x in np.flatnonzero(hi > lo):
-                tried.update((int(starts[x]), int(order[y])) for y in range(lo[x], hi[x]))
-        done: dict[tuple[int, int], int] = {}
-        for start, k in sorted(tried):
-            d = int(np.searchsorted(woff, start, "right")) - 1
-            if start < done.get((d, k), -1):
+    docs, items, starts = _places(index, words, woff)
+    for x in np.unique(items):
+        own = items == x
+        doc, start, n = docs[own], starts[own], int(index.size[x])
+        whole = woff[doc + 1] - start >= n
+        hit = ~whole  # a text shorter than the item is aligned without a look at its keys
+        keys = cgk_keys(words, start[whole], n)
+        hit[whole] = (keys == index.keys[x][:, None]).any(axis=0)
+        item_id, item = index.items[x]
+        edits, done = int(index.edits[x]), {}
+        for d, first in zip(doc[hit].tolist(), start[hit].tolist(), strict=True):
+            if first < done.get(d, -1):
                 continue  # inside the stretch that was just aligned with this item
-            lo, hi = max(int(woff[d]), start - edits), min(int(woff[d + 1]), start + n + 2 * edits + 2)
-            done[d, k] = start + edits
-            item_id, item = own[k]
+            lo, hi = max(int(woff[d]), first - edits), min(int(woff[d + 1]), first + n + 2 * edits + 2)
+            done[d] = first + edits
             distance, end = best_alignment(item, words[lo:hi])
             if distance <= edits:
-                first = max(0, lo + end - n - int(woff[d]))
-                key = (d, item_id)
-                if key not in found or (distance, first) < found[key][:2]:
-                    found[key] = (distance, first, n)
+                at = max(0, lo + end - n - int(woff[d]))
+                if (d, item_id) not in found or (distance, at) < found[d, item_id][:2]:
+                    found[d, item_id] = (distance, at, n)
     return found
 
 
@@ -164,7 +199,23 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     out = None
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).distinct().orderBy("item_id", "text").collect()
-        index = spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in rows], rate))
+        block = Index([(r.item_id, r.text) for r in rows], rate)
+        if not block.items:
+            continue
+        vocab = spark.sparkContext.broadcast(block.vocab)
+
+        def count(it: Iterator[pa.RecordBatch], vocab=vocab) -> Iterator[pa.RecordBatch]:
+            total, mask = np.zeros(len(vocab.value), np.int64), bit_mask(vocab.value)
+            for batch in it:
+                for _, _, part, poff in tk.chunks(*tk.text_buffer(batch.column(0))):
+                    total += vocab_counts(vocab.value, mask, _words(part, poff)[0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["word", "n"])
+
+        freq = np.zeros(len(block.vocab))
+        for r in docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
+            freq[r.word] = r.n
+        block.look_up(freq)
+        index = spark.sparkContext.broadcast(block)
 
         def search(it: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in it:
@@ -178,7 +229,7 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
 
         part = docs.mapInArrow(search, HITS)
         out = part if out is None else out.unionByName(part)
-    return out
+    return out if out is not None else spark.createDataFrame([], HITS)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
