@@ -1,15 +1,17 @@
 """Queries and SQL of this subpackage, by name."""
 
-from . import decontaminate, near_dedup, toxicity
+from . import decontaminate, mixing, near_dedup, quality, toxicity
 from .common import shipped
 
 QUERIES = {
     name: shipped(query)
     for name, query in {
+        "op5_mixing": mixing.op5_mixing,
         "op6_near_dedup": near_dedup.op6_near_dedup,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op8_quality_rules": quality.op8_quality_rules,
         "op10_toxicity": toxicity.op10_toxicity,
     }.items()
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op8_quality_rules": quality.OP8_SQL}
