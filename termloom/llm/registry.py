@@ -1,11 +1,12 @@
 """Queries and SQL of this subpackage, by name."""
 
-from . import decontaminate, mixing, near_dedup, quality, toxicity
+from . import decontaminate, licences, mixing, near_dedup, quality, toxicity
 from .common import shipped
 
 QUERIES = {
     name: shipped(query)
     for name, query in {
+        "op3_licences": licences.op3_licences,
         "op5_mixing": mixing.op5_mixing,
         "op6_near_dedup": near_dedup.op6_near_dedup,
         "op7_decontaminate": decontaminate.op7_decontaminate,
