@@ -81,12 +81,12 @@ def _zipped() -> str:
     return path
 
 
-def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """query, after giving this package to the executors: their Python may not have it."""
+def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """query(spark, ...), after giving this package to the executors: their Python may not have it."""
 
     @functools.wraps(query)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(spark: SparkSession, *args) -> DataFrame:
         spark.sparkContext.addPyFile(_zipped())
-        return query(spark, sf_dir)
+        return query(spark, *args)
 
     return run

@@ -1,6 +1,6 @@
 """Queries and SQL of this subpackage, by name."""
 
-from . import decontaminate, licences, mixing, near_dedup, quality, toxicity
+from . import decontaminate, licences, line_dedup, mixing, near_dedup, quality, toxicity
 from .common import shipped
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
         "op6_near_dedup": near_dedup.op6_near_dedup,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_quality_rules": quality.op8_quality_rules,
+        "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_toxicity": toxicity.op10_toxicity,
     }.items()
 }
