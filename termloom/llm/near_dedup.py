@@ -11,8 +11,9 @@ collapse to one representative by a pre-aggregated group-by, so groups of exact
 row. Then two rounds: (1) every member of a bucket is verified against the bucket's most central
 member, the one that shares its buckets with most others (the original among its edited copies),
 which joins the members of a group in linear work; (2) in the buckets that still hold several
-components, members of different components are verified. Pairs inside a component are never
-formed, and no bucket is capped.
+components, members of different components are verified, block against block with inverted
+lists, and only the links found are returned. Pairs are never formed as rows beyond a member and its
+bucket's centre, and no bucket is capped.
 
 With 32 bands of 4 rows a pair at similarity 0.75 shares a bucket with probability 1 - 6e-6.
 
@@ -35,6 +36,8 @@ from .common import connected_components, staged, table
 BANDS, ROWS = 32, 4
 #: Up to so many ids are sent to every task to pick texts by; beyond, texts are joined by id.
 ID_BROADCAST = 500_000
+#: Shingles of a block of members in the second round; a task holds two blocks.
+BLOCK = 300_000
 SHINGLE = 5
 
 
@@ -134,19 +137,63 @@ def _similar(shared: Column, na: Column, nb: Column, percent: int) -> Column:
     return 100 * shared >= percent * (na + nb - shared)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) rows that are linked, by the full sets of both."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    nodes = staged(nodes, "wanted")
+def _sets_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, set): the full sets of all members of pairs(a, b)."""
+    nodes = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
     if nodes.count() <= ID_BROADCAST:
         nodes = F.broadcast(nodes)
     need = texts.join(nodes, texts.doc_id == nodes.node, "left_semi").select("doc_id", "text")
-    sets = staged(need.mapInArrow(_sets, "node long, set array<long>").dropDuplicates(["node"]), "sets")
+    return staged(need.mapInArrow(_sets, "node long, set array<long>").dropDuplicates(["node"]), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) rows that are linked, by the full sets of both."""
     x = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
     x = x.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
     return x.where(_similar(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"), percent)).select("a", "b")
 
 
+def _across(percent: int):
+    """For a block of one family's members: pairs of components with linked members, enough of
+    them to join all that are linked."""
+
+    def links(block: pa.Table) -> pa.Table:
+        comp = block.column("c").to_numpy()
+        lists = block.column("set").combine_chunks()
+        value, off = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        size = np.diff(off)
+        member = np.repeat(np.arange(len(comp)), size)
+        order = np.argsort(value, kind="stable")
+        value_at, member_at = value[order], member[order]
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        found = []
+        label = comp.copy()  # follows the unions made here
+        for x in range(len(comp)):
+            if (label == label[x]).all():
+                break
+            own = value[off[x] : off[x + 1]]
+            lo, hi = np.searchsorted(value_at, own, "left"), np.searchsorted(value_at, own, "right")
+            n = hi - lo
+            hits = member_at[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            shared = np.bincount(hits, minlength=len(comp))
+            near = np.flatnonzero((label != label[x]) & (100 * shared >= percent * (size + size[x] - shared)) & (shared > 0))
+            for y in near.tolist():
+                a, b = sorted((root(int(comp[x])), root(int(comp[y]))))
+                if a != b:
+                    parent[b] = a
+                    found.append((a, b))
+                    label[label == b] = a
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return links
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -166,17 +213,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     heads = buckets.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top"))
     stars = buckets.join(heads.select("key", (-F.col("top.minus")).alias("head")), "key").where("node <> head")
     stars = staged(stars.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct(), "stars")
-    links = staged(_verified(stars, docs, percent), "links")
+    sets_of = _sets_of(stars, docs)
+    links = staged(_verified(stars, sets_of, percent), "links")
     labels = staged(connected_components(links), "labels")
-    # second round: only across components, in every bucket
+    # second round: only across components, among the members of buckets that still hold several
     cell = buckets.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
-    mixed = cell.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    cell = cell.join(mixed, "key", "left_semi")
-    left = cell.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    right = cell.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    cross = left.join(right, "key").where("ca < cb").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "ca", "cb")
-    cross = staged(cross.dropDuplicates(["a", "b"]), "cross")
-    more = _verified(cross.select("a", "b"), docs, percent).join(cross, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    mixed = cell.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("node").alias("head")).where("lo <> hi").select("key", "head")
+    cell = staged(cell.join(mixed, "key").select("head", "node", "n", "c").distinct(), "mixed")
+    families = staged(connected_components(cell.select(F.col("head").alias("a"), F.col("node").alias("b"))), "families")
+    member = cell.select("node", "n", "c").distinct().join(families, "node").withColumnRenamed("component", "family")
+    blocks = member.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).alias("k"))
+    member = member.join(blocks, "family").join(sets_of, "node").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("k")))
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda x: F.struct(F.least("_own", x).alias("i"), F.greatest("_own", x).alias("j")))
+    member = member.select("family", "node", "c", "set", F.explode(pair).alias("p")).select("family", "p.i", "p.j", "node", "c", "set")
+    more = staged(member.groupBy("family", "i", "j").applyInArrow(_across(percent), "a long, b long").distinct(), "more")
     merged = connected_components(more).select(F.col("node").alias("component"), F.col("component").alias("merged"))
     label = labels.join(merged, "component", "outer").select(
         F.coalesce("node", "component").alias("node"), F.coalesce("merged", "component").alias("component_id")
