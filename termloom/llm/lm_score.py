@@ -10,7 +10,8 @@ hashes, the count of all words being the 0-gram) and pre-aggregates them; the di
 the count tables, partitioned by hash, as sorted difference-coded arrays. A table partition adds up
 all blocks' counts and answers each block in the block's own order, so the join back to the exploded
 n-grams needs no keys. Blocks then score their words and sum per document. A frequent n-gram is one
-entry per block, whatever its count.
+entry per block, whatever its count. Words and pairs are counted first; an n-gram of more words
+is asked for only where both its parts of n - 1 words reach MIN_COUNT, which loses none that could.
 
 The order of rows in a block plays no part, so a recomputed block gives and gets the same arrays.
 
@@ -30,7 +31,9 @@ from .common import n_shuffle, table
 
 ORDER, MIN_COUNT, BACKOFF = 3, 2, 0.4
 #: Text bytes of a block, at most about.
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 10_000_000
+REQUEST = "block long, bucket long, n long, hashes binary, counts binary"
+ANSWER = "block long, bucket long, n long, counts binary"
 _ALL = np.uint64(0x243F6A8885A308D3)
 
 
@@ -70,27 +73,71 @@ def _ngrams(col: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     return woff, out
 
 
-def _request(n_buckets: int):
-    def request(block: pa.Table) -> pa.Table:
-        woff, grams = _ngrams(block.column("text").combine_chunks())
-        h, n = np.unique(np.concatenate([g[g > 0] for g in grams]), return_counts=True)
-        at = np.searchsorted(h, _ALL)
-        h, n = np.insert(h, at, _ALL), np.insert(n, at, woff[-1])
-        # equal parts of the hash range, so buckets follow the sorted order
-        step = (1 << 64) // n_buckets + 1
-        cut = np.searchsorted(h, np.array([k * step for k in range(n_buckets)], dtype=np.uint64)).tolist() + [len(h)]
-        rows = {"bucket": [], "n": [], "hashes": [], "counts": []}
-        for k in range(n_buckets):
-            part = h[cut[k] : cut[k + 1]]
-            if len(part):
-                rows["bucket"].append(k)
-                rows["n"].append(len(part))
-                rows["hashes"].append(packed(np.diff(part, prepend=np.uint64(0))))
-                rows["counts"].append(packed(n[cut[k] : cut[k + 1]]))
-        own = block.column("block")[0].as_py()
-        return pa.table({"block": pa.array([own] * len(rows["n"]), pa.int64()), "bucket": pa.array(rows["bucket"], pa.int64()), "n": pa.array(rows["n"], pa.int64()), "hashes": pa.array(rows["hashes"], pa.binary()), "counts": pa.array(rows["counts"], pa.binary())})
-
-    return request
+def _counted(last: int, grams: list[np.ndarray], answers: pa.Table | None) -> list[np.ndarray]:
+    """The corpus counts of the n-grams that end at each word, for n = 0 to last + 1, after
+    round last. Round 1 has the words and pairs, round r the n-grams of r + 1 words."""
+    counts: list[np.ndarray] = []
+    if answers is None:
+        return counts
+    rounds, bucket = answers.column("round").to_numpy(), answers.column("bucket").to_numpy()
+    sizes, raw = answers.column("n").to_pylist(), answers.column("counts").to_pylist()
+    for r in range(1, last + 1):
+        own = np.flatnonzero(rounds == r)
+        own = own[np.argsort(bucket[own], kind="stable")]
+        known = np.concatenate([np.zeros(0, np.uint64), *(unpacked(raw[k], sizes[k]) for k in own)])
+        asked = _asked(r, grams, counts)
+        flat = np.concatenate([g[m] for g, m in asked])
+        unique, inverse = np.unique(flat, return_inverse=True)
+        if r == 1:
+            at = int(np.searchsorted(unique, _ALL))
+            counts.append(np.full(len(grams[0]), float(known[at])))
+            known = np.delete(known, at)
+        known, at = known[inverse], 0
+        for _, m in asked:
+            c = np.zeros(len(m))
+            c[m] = known[at : at + m.sum()]
+            at += int(m.sum())
+            counts.append(c)
+    return counts
+
+
+def _asked(r: int, grams: list[np.ndarray], counts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(n-grams, which of them are asked for) of a round. An n-gram can only reach MIN_COUNT if both
+    its parts of n - 1 words do, so others are not asked for."""
+    if r == 1:
+        return [(g, g > 0) for g in grams[:2]]
+    often = counts[r] >= MIN_COUNT
+    before = np.concatenate([[False], often[:-1]]) if len(often) else often
+    return [(grams[r], (grams[r] > 0) & often & before)]
+
+
+def _request(n_buckets: int, r: int):
+    def request(docs: pa.Table, answers: pa.Table | None) -> pa.Table:
+        rows: dict[str, list] = {"block": [], "bucket": [], "n": [], "hashes": [], "counts": []}
+        if docs.num_rows:
+            woff, grams = _ngrams(docs.column("text").combine_chunks())
+            asked = _asked(r, grams, _counted(r - 1, grams, answers))
+            h, n = np.unique(np.concatenate([g[m] for g, m in asked]), return_counts=True)
+            if r == 1:
+                at = np.searchsorted(h, _ALL)
+                h, n = np.insert(h, at, _ALL), np.insert(n, at, woff[-1])
+            # equal parts of the hash range, so buckets follow the sorted order
+            step = (1 << 64) // n_buckets + 1
+            cut = np.searchsorted(h, np.array([k * step for k in range(n_buckets)], dtype=np.uint64)).tolist() + [len(h)]
+            own = docs.column("block")[0].as_py()
+            for k in range(n_buckets):
+                part = h[cut[k] : cut[k + 1]]
+                if len(part):
+                    rows["block"].append(own)
+                    rows["bucket"].append(k)
+                    rows["n"].append(len(part))
+                    rows["hashes"].append(packed(np.diff(part, prepend=np.uint64(0))))
+                    rows["counts"].append(packed(n[cut[k] : cut[k + 1]]))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.table({k: pa.array(v, t) for (k, v), t in zip(rows.items(), kinds, strict=True)})
+
+    # the argument count tells grouped from cogrouped functions apart
+    return (lambda docs: request(docs, None)) if r == 1 else (lambda docs, answers: request(docs, answers))
 
 
 def _answer(requests: pa.Table) -> pa.Table:
@@ -112,18 +159,8 @@ def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
     if not docs.num_rows:
         return pa.table({k: pa.array([], t) for k, t in (("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_backed_off", pa.int64()), ("log10_sum", pa.float64()), ("score", pa.float64()))})
     woff, grams = _ngrams(docs.column("text").combine_chunks())
-    flat = np.concatenate(grams)
-    there = flat > 0
-    unique, inverse = np.unique(flat[there], return_inverse=True)
-    order = np.argsort(answers.column("bucket").to_numpy(), kind="stable")
-    sizes, raw = answers.column("n").to_pylist(), answers.column("counts").to_pylist()
-    known = np.concatenate([unpacked(raw[k], sizes[k]) for k in order])
-    at = int(np.searchsorted(unique, _ALL))
-    total, known = float(known[at]), np.delete(known, at).astype(np.float64)
-    count = np.zeros(len(flat))
-    count[there] = known[inverse]
+    c = _counted(ORDER - 1, grams, answers)
     n = len(grams[0])
-    c = [np.full(n, total)] + [count[k * n : (k + 1) * n] for k in range(ORDER)]
     score, order_of = np.full(n, -np.inf), np.zeros(n, np.int64)
     place = np.arange(n) - np.repeat(woff[:-1], np.diff(woff))
     longest = np.minimum(place + 1, ORDER)
@@ -159,9 +196,15 @@ def scores(docs: DataFrame) -> DataFrame:
     blocks = max(n_shuffle(spark), -(-size // BLOCK_BYTES))
     buckets = 2 * blocks
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    # both uses of dealt share one exchange
-    asked = dealt.groupBy("block").applyInArrow(_request(buckets), "block long, bucket long, n long, hashes binary, counts binary")
-    answers = asked.groupBy("bucket").applyInArrow(_answer, "block long, bucket long, n long, counts binary")
+    # all uses of dealt share one exchange
+    answers = None
+    for r in range(1, ORDER):
+        if answers is None:
+            asked = dealt.groupBy("block").applyInArrow(_request(buckets, r), REQUEST)
+        else:
+            asked = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_request(buckets, r), REQUEST)
+        new = asked.groupBy("bucket").applyInArrow(_answer, ANSWER).withColumn("round", F.lit(r).cast("long"))
+        answers = new if answers is None else answers.unionByName(new)
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score, "doc_id long, n_words long, n_backed_off long, log10_sum double, score double")
 
 
