@@ -1,12 +1,13 @@
 """Queries and SQL of this subpackage, by name."""
 
-from . import decontaminate, licences, line_dedup, lm_score, mixing, near_dedup, quality, toxicity
+from . import decontaminate, html_text, licences, line_dedup, lm_score, mixing, near_dedup, quality, toxicity
 from .common import shipped
 
 QUERIES = {
     name: shipped(query)
     for name, query in {
         "op1_lm_score": lm_score.op1_lm_score,
+        "op2_html_text": html_text.op2_html_text,
         "op3_licences": licences.op3_licences,
         "op5_mixing": mixing.op5_mixing,
         "op6_near_dedup": near_dedup.op6_near_dedup,
