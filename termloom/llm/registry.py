@@ -1,6 +1,6 @@
 """Queries and SQL of this subpackage, by name."""
 
-from . import decontaminate, html_text, licences, line_dedup, lm_score, mixing, near_dedup, quality, toxicity
+from . import decontaminate, html_text, licences, line_dedup, lm_score, mixing, near_dedup, quality, suffix_dedup, toxicity
 from .common import shipped
 
 QUERIES = {
@@ -9,6 +9,7 @@ QUERIES = {
         "op1_lm_score": lm_score.op1_lm_score,
         "op2_html_text": html_text.op2_html_text,
         "op3_licences": licences.op3_licences,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_mixing": mixing.op5_mixing,
         "op6_near_dedup": near_dedup.op6_near_dedup,
         "op7_decontaminate": decontaminate.op7_decontaminate,
