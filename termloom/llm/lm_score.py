@@ -27,11 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import n_shuffle, table
+from .common import table
 
 ORDER, MIN_COUNT, BACKOFF = 3, 2, 0.4
 #: Text bytes of a block, at most about.
 BLOCK_BYTES = 10_000_000
+#: Blocks of small inputs. Their number follows the text and not the shuffle partitions, as every
+#: block sends one row to every bucket.
+LEAST_BLOCKS = 48
 REQUEST = "block long, bucket long, n long, hashes binary, counts binary"
 ANSWER = "block long, bucket long, n long, counts binary"
 _ALL = np.uint64(0x243F6A8885A308D3)
@@ -190,11 +193,9 @@ def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
 
 def scores(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_backed_off, log10_sum, score) for every row of docs(doc_id, text)."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(n_shuffle(spark), -(-size // BLOCK_BYTES))
-    buckets = 2 * blocks
+    blocks = buckets = max(LEAST_BLOCKS, -(-size // BLOCK_BYTES))
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     # all uses of dealt share one exchange
     answers = None
