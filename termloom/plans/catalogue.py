@@ -43,11 +43,11 @@ def _terms(spark: SparkSession, rows: list[tuple[str, str]] = (("en", TERM),)) -
 
 def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _english(spark, sf_dir)
-    return vocab.restricted(s, vocab.vocabulary(s, _terms(spark), MIN_FREQ))
+    return vocab.restricted(s, vocab.vocabulary(s, _terms(spark), MIN_FREQ)).persist()
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cooccur.pmi_edges(_kept(spark, sf_dir))
+    return cooccur.pmi_edges(_kept(spark, sf_dir)).persist()
 
 
 def _rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -161,7 +161,7 @@ def proximity(spark, sf_dir):
     s = _english(spark, sf_dir)
     words = vocab.vocabulary(s, _terms(spark), MIN_FREQ)
     wanted = words.where(F.col("token") != TERM).select("graph_id", F.lit(TERM).alias("term"), F.col("token").alias("node"))
-    return _rounded(graph.proximity(cooccur.pmi_edges(vocab.restricted(s, words)), wanted).select("node", "score"), "score")
+    return _rounded(graph.proximity(cooccur.pmi_edges(vocab.restricted(s, words)).persist(), wanted).select("node", "score"), "score")
 
 
 @query(f"{chain()}, {PRUNE} select node from hood union select '{TERM}' where exists (from one)")
@@ -205,7 +205,7 @@ cosine as (select d.graph_id, source, target, cast(dot as double) / (sqrt(cast(p
 
 def _kept60(spark, sf_dir):
     s = _english(spark, sf_dir)
-    return vocab.restricted(s, vocab.vocabulary(s, _terms(spark), 60))
+    return vocab.restricted(s, vocab.vocabulary(s, _terms(spark), 60)).persist()
 
 
 @query(f"{_COS} select a, b, cast(m as bigint) as m from cells")
@@ -357,7 +357,7 @@ _PLACED = "placed as (select node as id, cast(length(node) * 10 as double) as x,
 
 @query(f"{chain()}, {PRUNE}, {_PLACED} select source, target, p.x / 100 * 640 as x1, p.y / 100 * 480 as y1, q.x / 100 * 640 as x2, q.y / 100 * 480 as y2 from pruned join placed p on p.id = source join placed q on q.id = target")
 def edge_endpoints(spark, sf_dir):
-    e = network.cooccurrence_network(_english(spark, sf_dir), _terms(spark), MIN_FREQ, MAX_NODES)
+    e = network.cooccurrence_network(_english(spark, sf_dir), _terms(spark), MIN_FREQ, MAX_NODES).persist()
     at = graph.non_isolated(e).select("graph_id", "id", (F.length("id") * 10).cast("double").alias("x"), (F.ascii("id") % 100).cast("double").alias("y"))
     w, h = F.lit(640), F.lit(480)
     p = graph.endpoints(e, at)
@@ -374,7 +374,7 @@ def node_link_json(spark, sf_dir):
 
 @query(f"{chain()}, {PRUNE} select graph_id, (select count(distinct n) from (select source as n from pruned union select target from pruned)) as n_nodes, count(*) as n_edges from pruned group by graph_id")
 def graph_sizes(spark, sf_dir):
-    return graph.sizes(network.cooccurrence_network(_english(spark, sf_dir), _terms(spark), MIN_FREQ, MAX_NODES))
+    return graph.sizes(network.cooccurrence_network(_english(spark, sf_dir), _terms(spark), MIN_FREQ, MAX_NODES).persist())
 
 
 _TURNS = f"""select 'turns' as graph_id, conv_id * 1000 + turn as doc_id, regexp_replace(text, '[.!?\\n]+', ' ', 'g') as text from conversations"""

@@ -1,4 +1,7 @@
-"""Whole plans: from documents to pruned term networks, many (term, scope) graphs in one job."""
+"""Whole plans: from documents to pruned term networks, many (term, scope) graphs in one job.
+
+Restricted sentences and edges are read by several joins and persisted (memory, then disk; a lost
+executor's part is made again from the documents)."""
 
 from __future__ import annotations
 
@@ -10,13 +13,13 @@ from ..operators import cooccur, graph, similarity, vocab
 def cooccurrence_network(sents: DataFrame, terms: DataFrame, min_freq: int = 22, max_nodes: int = 15, stopwords=()) -> DataFrame:
     """Edges of each graph's pruned PMI network. sents(graph_id, doc_id, sent_id, tokens) are
     unrestricted token lists; terms(graph_id, term) name each graph's centre."""
-    kept = vocab.restricted(sents, vocab.vocabulary(sents, terms, min_freq, stopwords))
-    return graph.pruned(cooccur.pmi_edges(kept), terms, max_nodes)
+    kept = vocab.restricted(sents, vocab.vocabulary(sents, terms, min_freq, stopwords)).persist()
+    return graph.pruned(cooccur.pmi_edges(kept).persist(), terms, max_nodes)
 
 
 def similarity_network(sents: DataFrame, terms: DataFrame, min_freq: int = 22, max_nodes: int = 15, threshold: float = 0.7, stopwords=()) -> DataFrame:
     """As cooccurrence_network, with cosine similarity of contexts."""
     words = vocab.vocabulary(sents, terms, min_freq, stopwords)
-    kept = vocab.restricted(sents, words)
-    edges = similarity.cosine_edges(similarity.context_cells(kept), threshold, words.withColumnRenamed("token", "id"))
-    return graph.pruned(edges, terms, max_nodes)
+    cells = similarity.context_cells(vocab.restricted(sents, words)).persist()
+    edges = similarity.cosine_edges(cells, threshold, words.withColumnRenamed("token", "id"))
+    return graph.pruned(edges.persist(), terms, max_nodes)
