@@ -15,7 +15,9 @@ from ..streaming import counts
 from . import network
 
 TERM, MIN_FREQ, MAX_NODES = "er", 22, 15
-TERMS = ["er", "ha", "ou"]
+TERMS = ["er", "ha"]
+#: Rows of common tokens are nearly dense, so the cosine queries take a smaller vocabulary.
+COSINE_FREQ = 150
 #: Fixed value: similarity from which a cosine edge stands.
 SIM = 0.7
 QUERIES: dict = {}
@@ -195,7 +197,7 @@ def cooccurrence_by_doc_and_pooled(spark, sf_dir):
     return _rounded(network.cooccurrence_network(sents, terms, MIN_FREQ, MAX_NODES), "weight")
 
 
-_COS = chain(min_freq=60) + """, occ as (select graph_id, doc_id, sent_id, token, count(*) as c from kept group by all),
+_COS = chain(min_freq=COSINE_FREQ) + """, occ as (select graph_id, doc_id, sent_id, token, count(*) as c from kept group by all),
 cells as (select x.graph_id, x.token as a, y.token as b, sum(x.c * y.c) as m from occ x join occ y on x.graph_id = y.graph_id and x.doc_id = y.doc_id and x.sent_id = y.sent_id and x.token < y.token group by all),
 mir as (select * from cells union all select graph_id, b, a, m from cells),
 norm as (select graph_id, a as id, sum(m * m) as sq from mir group by all),
@@ -203,25 +205,25 @@ dots as (select x.graph_id, x.a as source, y.a as target, sum(x.m * y.m) as dot
 cosine as (select d.graph_id, source, target, cast(dot as double) / (sqrt(cast(p.sq as double)) * sqrt(cast(q.sq as double))) as weight from dots d join norm p on p.id = source join norm q on q.id = target)"""
 
 
-def _kept60(spark, sf_dir):
+def _common(spark, sf_dir):
     s = _english(spark, sf_dir)
-    return vocab.restricted(s, vocab.vocabulary(s, _terms(spark), 60)).persist()
+    return vocab.restricted(s, vocab.vocabulary(s, _terms(spark), COSINE_FREQ)).persist()
 
 
 @query(f"{_COS} select a, b, cast(m as bigint) as m from cells")
 def context_matrix(spark, sf_dir):
-    return similarity.context_cells(_kept60(spark, sf_dir)).select("a", "b", "m")
+    return similarity.context_cells(_common(spark, sf_dir)).select("a", "b", "m")
 
 
 @query(f"{_COS} select source, target, round(weight, 6) as weight from cosine where round(weight, 6) >= {SIM}")
 def cosine_edges(spark, sf_dir):
-    e = similarity.cosine_edges(similarity.context_cells(_kept60(spark, sf_dir)), SIM - 1e-4)
+    e = similarity.cosine_edges(similarity.context_cells(_common(spark, sf_dir)), SIM - 1e-4)
     return e.select("source", "target", F.round("weight", 6).alias("weight")).where(F.col("weight") >= SIM)
 
 
 @query(f"{_COS.replace('edges as (', 'pmi_edges as (')}, edges as (select * from cosine where weight >= {SIM}), {PRUNE} select source, target, round(weight, 6) as weight from pruned")
 def similarity_network(spark, sf_dir):
-    e = network.similarity_network(_english(spark, sf_dir), _terms(spark), 60, MAX_NODES, SIM)
+    e = network.similarity_network(_english(spark, sf_dir), _terms(spark), COSINE_FREQ, MAX_NODES, SIM)
     return e.select("source", "target", F.round("weight", 6).alias("weight"))
 
 
