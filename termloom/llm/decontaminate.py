@@ -1,17 +1,13 @@
-"""Benchmark decontamination: CGK random-walk embedding, bit-sampling LSH over item-sized
-windows, exact edit verification.
+"""Benchmark decontamination: places by an item's rarest words, a word-count bound, exact alignment.
 
 Words are runs of letters and digits (and any non-ASCII character), A-Z lower-cased. An item of
 n words leaks into a document where some run of the document's words has word edit distance of
 at most floor(n * rate) to the item (rate 0.2 unless set).
 
-The CGK walk reads a window with a pointer that stays or moves on by a random bit of the step
-and the word read, which maps edit distance to Hamming distance; a table's key is the words read
-at a few sampled steps. Windows of an item's size may begin at every word of every document. Only
-those are walked that hold as many of the item's rarest words (by counts over the whole corpus) as
-every leaking window has to: a necessary condition, so no leak is lost to it. Windows that share a
-key with the item in any of TABLES tables are verified by alignment of the item against the words
-around the window. Unchanged passages always share all keys.
+Two necessary conditions narrow the places down, so no leak is lost to them. A leaking run of an
+item of n words and k allowed edits has at most n + k words, and at least n - k of them stand in
+the item; so it holds as many of the item's rarest words (by counts over the whole corpus) as
+Index says. Stretches that meet both are aligned with the item, all of them: the distance is exact.
 
 The items are the query set and are held in blocks of at most BLOCK_CHARS characters; every
 block is run against all documents in one narrow pass without a shuffle.
@@ -33,8 +29,8 @@ from . import textkernel as tk
 from .common import table
 
 RATE = 0.2
-WALKS, SAMPLES, BITS = 5, 4, 4
-TABLES = WALKS * SAMPLES
+#: Words of stretches that are aligned at once.
+ALIGN_WORDS = 1 << 19
 #: Words of an item, beyond its allowed edits, by which its places are looked up.
 SEEDS = 3
 MASK = np.uint64((1 << 20) - 1)
@@ -47,27 +43,6 @@ def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tk.span_hash(tk.prefix_code(data, tk.FOLDED_CODE), s, e), woff
 
 
-def cgk_keys(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """TABLES keys for each window of n words at starts. Every window must lie within words."""
-    keys = np.zeros((TABLES, len(starts)), np.uint64)
-    steps = 2 * n
-    for walk in range(WALKS):
-        rnd = np.random.default_rng([n, walk])
-        picks = [np.sort(rnd.choice(steps, min(BITS, steps), replace=False)) for _ in range(SAMPLES)]
-        want = {}
-        for k, steps_of in enumerate(picks):
-            for x in steps_of:
-                want.setdefault(int(x), []).append(walk * SAMPLES + k)
-        at = np.zeros(len(starts), np.int64)
-        for j in range(max(want) + 1):
-            read = words[starts + np.minimum(at, n - 1)]
-            read = np.where(at < n, read, np.uint64(0))  # past the end: padding
-            for k in want.get(j, ()):
-                keys[k] = tk.mix(keys[k] ^ (read + np.uint64(k + 1)))
-            at += (tk.mix(read ^ np.uint64(walk * 100_003 + j * 7 + 1)) >> np.uint64(63)).astype(np.int64)
-    return keys
-
-
 class Index:
     """A block of items, and for each the words by which its places are looked up.
 
@@ -100,7 +75,6 @@ class Index:
         self.first = np.append(first, len(order))
         self.item = item[order].astype(np.int64)
         self.mask = bit_mask(self.token)
-        self.keys = [cgk_keys(w, np.zeros(1, np.int64), len(w))[:, 0] for _, w in self.items]
 
 
 def bit_mask(words: np.ndarray) -> np.ndarray:
@@ -116,22 +90,30 @@ def vocab_counts(vocab: np.ndarray, mask: np.ndarray, words: np.ndarray) -> np.n
     return np.bincount(at[vocab[at] == words], minlength=len(vocab))
 
 
-def best_alignment(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
-    """(distance, end) of the run of words nearest to item, by word edit distance."""
-    m = len(words)
-    ramp = np.arange(m + 1)
-    row = np.zeros(m + 1, np.int64)
-    for k, w in enumerate(item):
-        new = np.empty(m + 1, np.int64)
-        new[0] = k + 1
-        np.minimum(row[:-1] + (words != w), row[1:] + 1, out=new[1:])
-        row = np.minimum.accumulate(new - ramp) + ramp
-    end = int(np.argmin(row))
-    return int(row[end]), end
-
-
-def _places(index: Index, words: np.ndarray, woff: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, item, start) of the windows that hold enough of an item's looked-up words."""
+def best_alignments(item: np.ndarray, words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, end) of the run nearest to item in each of the stretches words[lo:hi], by word
+    edit distance. Shorter stretches are filled up at their ends, which brings no run nearer."""
+    m = int((hi - lo).max())
+    at = lo[:, None] + np.arange(m)
+    read = words[np.minimum(at, len(words) - 1)]
+    vocab = np.unique(item)
+    own = np.minimum(np.searchsorted(vocab, read), len(vocab) - 1).astype(np.int32)
+    own[(at >= hi[:, None]) | (vocab[own] != read)] = -1
+    ramp = np.arange(m + 1, dtype=np.int32)
+    row = np.zeros((len(lo), m + 1), np.int32)
+    for k, w in enumerate(np.searchsorted(vocab, item)):
+        new = np.empty_like(row)
+        new[:, 0] = k + 1
+        np.minimum(row[:, :-1] + (own != w), row[:, 1:] + 1, out=new[:, 1:])
+        new -= ramp
+        row = np.minimum.accumulate(new, axis=1)
+        row += ramp
+    end = row.argmin(axis=1)
+    return row[np.arange(len(lo)), end], end
+
+
+def _places(index: Index, words: np.ndarray, woff: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, lo, hi) of the stretches that may hold a leak: every leaking run lies in one."""
     p = np.flatnonzero(index.mask[(words & MASK).astype(np.int64)])
     at = np.minimum(np.searchsorted(index.token, words[p]), len(index.token) - 1)
     known = index.token[at] == words[p]
@@ -148,14 +130,32 @@ def _places(index: Index, words: np.ndarray, woff: np.ndarray) -> tuple[np.ndarr
     width = index.size[item] + index.edits[item]
     ok = (last < len(pos)) & (group[end] == group) & (pos[end] - pos < width)
     lo = np.maximum(pos[end] - width + 1, woff[doc])[ok]
-    hi, item, doc = pos[ok], item[ok], doc[ok]
-    # windows cut off by the end of their text begin earlier instead, or at its first word
-    fit = np.maximum(woff[doc + 1] - index.size[item], woff[doc])
-    lo, hi = np.minimum(lo, fit), np.minimum(hi, fit)
-    n = hi - lo + 1
-    start = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    found = np.unique(np.stack([np.repeat(item, n), start, np.repeat(doc, n)]), axis=1)
-    return found[2], found[0], found[1]
+    hi = np.minimum(pos + width, woff[doc + 1])[ok]
+    return _joined(doc[ok], item[ok], lo, hi)
+
+
+def _joined(doc: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Stretches of one text and item that overlap as one; given by text, item and lo, hi rising with lo."""
+    new = np.ones(len(lo), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (lo[1:] > hi[:-1])
+    last = np.append(new[1:], True) if len(new) else new
+    return doc[new], item[new], lo[new], hi[last]
+
+
+def _bounded(item: np.ndarray, edits: int, words: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, lo, hi): the parts of the stretches in which some len(item) + edits words hold at least
+    len(item) - edits words of item."""
+    n, width = hi - lo, len(item) + edits
+    at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+    of = np.repeat(np.arange(len(lo)), n)
+    own = np.unique(item)
+    held = own[np.minimum(np.searchsorted(own, words[at]), len(own) - 1)] == words[at]
+    up_to = np.concatenate([[0], np.cumsum(held)])
+    last = np.minimum(np.arange(len(at)) + width, np.cumsum(n)[of])
+    ok = up_to[last] - up_to[:-1] >= len(item) - edits
+    first, of = at[ok], of[ok]
+    doc, _, lo, hi = _joined(doc[of], np.zeros(len(of), np.int64), first, np.minimum(first + width, hi[of]))
+    return doc, lo, hi
 
 
 def _leaks(index: Index, words: np.ndarray, woff: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
@@ -163,26 +163,26 @@ def _leaks(index: Index, words: np.ndarray, woff: np.ndarray) -> dict[tuple[int,
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
     if not len(words) or not len(index.items):
         return found
-    docs, items, starts = _places(index, words, woff)
+    docs, items, los, his = _places(index, words, woff)
+    order = np.argsort(items, kind="stable")
+    docs, items, los, his = docs[order], items[order], los[order], his[order]
     for x in np.unique(items):
-        own = items == x
-        doc, start, n = docs[own], starts[own], int(index.size[x])
-        whole = woff[doc + 1] - start >= n
-        hit = ~whole  # a text shorter than the item is aligned without a look at its keys
-        keys = cgk_keys(words, start[whole], n)
-        hit[whole] = (keys == index.keys[x][:, None]).any(axis=0)
-        item_id, item = index.items[x]
-        edits, done = int(index.edits[x]), {}
-        for d, first in zip(doc[hit].tolist(), start[hit].tolist(), strict=True):
-            if first < done.get(d, -1):
-                continue  # inside the stretch that was just aligned with this item
-            lo, hi = max(int(woff[d]), first - edits), min(int(woff[d + 1]), first + n + 2 * edits + 2)
-            done[d] = first + edits
-            distance, end = best_alignment(item, words[lo:hi])
-            if distance <= edits:
-                at = max(0, lo + end - n - int(woff[d]))
-                if (d, item_id) not in found or (distance, at) < found[d, item_id][:2]:
-                    found[d, item_id] = (distance, at, n)
+        a, b = np.searchsorted(items, [x, x + 1])
+        (item_id, item), edits, n = index.items[x], int(index.edits[x]), int(index.size[x])
+        doc, lo, hi = _bounded(item, edits, words, docs[a:b], los[a:b], his[a:b])
+        order = np.argsort(hi - lo, kind="stable")
+        doc, lo, hi = doc[order], lo[order], hi[order]
+        i = 0
+        while i < len(lo):
+            size = hi[i:] - lo[i:]
+            j = i + max(1, int(np.searchsorted(size * np.arange(1, len(size) + 1), ALIGN_WORDS, "right")))
+            distance, end = best_alignments(item, words, lo[i:j], hi[i:j])
+            near = np.flatnonzero(distance <= edits)
+            first = np.maximum(0, lo[i:j] + end - n - woff[doc[i:j]])
+            for d, k, at in zip(doc[i:j][near].tolist(), distance[near].tolist(), first[near].tolist(), strict=True):
+                if (d, item_id) not in found or (k, at) < found[d, item_id][:2]:
+                    found[d, item_id] = (k, at, n)
+            i = j
     return found
 
 

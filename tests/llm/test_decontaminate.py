@@ -81,3 +81,23 @@ def test_defined_cases(spark):
     assert rows == [(3, 1, 0), (3, 1, 0), (4, 1, 1)]
     assert leaks(d, i.limit(0)).count() == 0
     assert leaks(d.limit(0), i).count() == 0
+
+
+def test_every_leak_at_the_full_rate(spark):
+    rnd = random.Random(11)
+    words = ["the", "of", "and", "to"] * 200 + [f"w{i}" for i in range(3000)]
+    docs, items = [], []
+    for n in (50, 100, 200):
+        for _ in range(12):
+            item = [rnd.choice(words) for _ in range(n)]
+            items.append((len(items), " ".join(item)))
+            own = list(item)
+            for at in sorted(rnd.sample(range(n), n // 5), reverse=True):
+                op = rnd.random()
+                own[at : at + 1] = [] if op < 0.35 else [own[at], "added"] if op < 0.7 else ["changed"]
+            text = [rnd.choice(words) for _ in range(120)]
+            at = rnd.randint(0, len(text))
+            docs.append((len(docs), " ".join(text[:at] + own + text[at:])))
+    got = found(leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    assert {(d, d) for d, _ in docs} <= set(got)
+    assert got == brute(docs, items)
