@@ -45,8 +45,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with their copies."""
-    plan = mixing.mixed(docs).where("copies > 0").select("doc_id", "size", "source_size", "target", "taken", "copies")
-    return docs.join(plan, "doc_id")
+    packed = docs.select(F.struct("*").alias("row"), "doc_id", "text", "source")
+    return mixing.mixed(packed, ("row",)).where("copies > 0").select("row.*", "size", "source_size", "target", "taken", "copies")
 
 
 STAGES = [(f.__name__, shipped(f)) for f in (quality_rules, drop_lines, near_duplicates, decontamination, mix)]

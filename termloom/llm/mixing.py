@@ -81,10 +81,12 @@ def _extra(cells: pd.DataFrame) -> pd.DataFrame:
     return cells.assign(whole=whole, extra=out)[["source", "size", "whole", "extra"]]
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, rate) for every row of docs(doc_id, text, source)."""
+def mixed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, copies, rate) and the columns keep for every row of
+    docs(doc_id, text, source). Kept columns stay with their row; with any, docs is read twice."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    d = staged(docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size")), "sizes")
+    d = docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), *keep)
+    d = d if keep else staged(d, "sizes")
     h = F.xxhash64(F.lit(17), "doc_id")
     d = d.select("*", h.alias("_h"), F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(SLICES)).alias("_slice"), F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_n"))
     key = ["_s", "_n", "size"]
@@ -103,7 +105,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     rank = F.row_number().over(W.partitionBy(*key, "_slice").orderBy("_h", "doc_id"))
     ranked = d.withColumn("_rank", rank).join(plan, [*key, "_slice"]).join(goals, ["_s", "_n"])
     n = F.coalesce("whole", F.lit(0)) + F.when(F.col("_before") + F.col("_rank") <= F.coalesce("extra", F.lit(0)), 1).otherwise(0)
-    return ranked.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (n * F.col("size")).cast("long").alias("taken"), n.cast("long").alias("copies"), "rate")
+    return ranked.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (n * F.col("size")).cast("long").alias("taken"), n.cast("long").alias("copies"), "rate", *keep)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

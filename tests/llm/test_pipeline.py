@@ -50,3 +50,16 @@ def test_rows_without_words_or_ids(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         empty = staged(stage(spark, empty, sf_dir), name)
     assert empty.count() == 0
+
+
+def test_mix_keeps_rows_without_ids_and_repeated_ids(spark, sf_dir):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text, "en", "s", 5), (None, text + " y", None, "s", 6), (1, text + " x", "en", "s", 7), (7, "a b c", "en", "t", 8), (7, "a b c", "fr", "t", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.mix(spark, docs, sf_dir).collect()
+    plan = corpus_pipeline.mixing.mixed(docs).where("copies > 0").collect()
+    key = lambda r: (r.doc_id or -1, r.size, r.copies, r.taken)
+    assert sorted(map(key, out)) == sorted(map(key, plan))
+    got = [tuple(r[c] for c in docs.columns) for r in out]
+    assert len(got) == len(set(got)) and set(got) <= set(rows)
+    assert sum(r.doc_id is None for r in out) >= 1 and all(r.size == len(r.text.split()) for r in out)
