@@ -2,14 +2,17 @@
 
 A line's path in the tree is its number of words and its first LEAD words; words with a digit are
 variable fields and are generalised. Under a leaf, lines that agree in every generalised word are
-one form. The leaf's most frequent form is its template: other forms of MIN_SIMILAR words or more
-that agree with it in at least SIMILAR percent of their words are its instances, their differing
-words being further variable fields. A form, or a template with its instances, that stands in at
-least MIN_DOCS documents recurs. It stays in the document with the smallest doc_id and is dropped
-from all others, so one document of a group of copies stays whole.
-
-Lines travel as 64-bit hashes with two bytes a word, deduplicated within documents; no group of
-lines is ever held in one place.
+one form. Forms of MIN_SIMILAR words or more that agree in at least SIMILAR percent of their words
+are linked, and linked forms (connected components) are instances of one template, their differing
+words being further variable fields; a leaf holds any number of templates. A form, or a template
+with its instances, that stands in at least MIN_DOCS documents recurs. It stays in the document
+with the smallest doc_id and is dropped from all others, so one document of a group of copies stays
+whole.
+
+Lines travel as 64-bit hashes with two bytes a word, deduplicated within documents. The forms of one
+leaf (equal word count, first words equal) meet in one task, never its lines. Forms that agree in
+SIMILAR percent have one of k + 1 bands of positions in common, k being the words that may differ,
+so only forms that share a band are compared, and no link is lost to that.
 
 Defined cases: null text is empty and stays null; lines without words are never dropped; rows with
 null doc_id neither count nor lose lines; rows that repeat a doc_id are one document and lose the
@@ -21,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,10 +91,42 @@ def _lines(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-@F.pandas_udf(T.LongType())
-def _agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Words in which two lines of equal length agree."""
-    return pd.Series([int((np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16)).sum()) for x, y in zip(a, b, strict=True)], dtype="int64")
+def components(sig: np.ndarray) -> np.ndarray:
+    """For each row of sig (forms by words) the least row that it is linked to by steps of agreement."""
+    m, n = sig.shape
+    need = -(-SIMILAR * n // 100)
+    label = np.arange(m)
+    for band in np.array_split(np.arange(min(LEAD, n - 1), n), n - need + 1):
+        if not len(band):
+            band = np.arange(n)
+        key = np.ascontiguousarray(sig[:, band]).view(f"V{2 * len(band)}").ravel()
+        _, of = np.unique(key, return_inverse=True)
+        order = np.argsort(of, kind="stable")
+        for todo in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+            if len(todo) < 2 or (label[todo] == label[todo[0]]).all():
+                continue
+            while len(todo):
+                front, todo = [todo[0]], todo[1:]
+                group = list(front)
+                while front and len(todo):
+                    near = (sig[todo] == sig[front.pop()]).sum(axis=1) >= need
+                    group += todo[near].tolist()
+                    front += todo[near].tolist()
+                    todo = todo[~near]
+                old = np.unique(label[group])
+                if len(old) > 1:
+                    label[np.isin(label, old)] = old[0]
+    return label
+
+
+def _templates(forms: pa.Table) -> pa.Table:
+    """(leaf, h, template) of the forms of one leaf that are linked to others."""
+    forms = forms.sort_by("h")
+    n = forms["n"][0].as_py()
+    h = forms["h"].to_numpy()
+    label = components(np.frombuffer(b"".join(forms["sig"].to_pylist()), np.uint16).reshape(len(h), n))
+    many = np.bincount(label, minlength=len(h))[label] > 1
+    return pa.table({"leaf": forms["leaf"].filter(pa.array(many)), "h": pa.array(h[many]), "template": pa.array(h[label[many]])})
 
 
 def recurring(docs: DataFrame) -> DataFrame:
@@ -100,14 +134,12 @@ def recurring(docs: DataFrame) -> DataFrame:
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     lines = staged(ids.mapInArrow(_lines, LINES), "lines")
     forms = staged(lines.groupBy("leaf", "h", "n").agg(F.count_distinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.first("sig").alias("sig")), "forms")
-    leaves = forms.where(F.col("n") >= MIN_SIMILAR).groupBy("leaf").agg(
-        F.count("*").alias("n_forms"), F.sum("n_docs").alias("all_docs"), F.max_by(F.struct("sig", "h"), F.struct("n_docs", "h")).alias("top")
-    )
-    leaves = leaves.where((F.col("n_forms") > 1) & (F.col("all_docs") >= MIN_DOCS))
-    near = forms.where(F.col("n") >= MIN_SIMILAR).join(leaves, "leaf").select("leaf", "h", "n", _agreeing("sig", "top.sig").alias("same"))
-    near = staged(near.where(100 * F.col("same") >= SIMILAR * F.col("n")).select("leaf", "h"), "near")
-    templates = lines.join(near, ["leaf", "h"]).groupBy("leaf").agg(F.count_distinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
-    by_template = near.join(templates.where(F.col("n_docs") >= MIN_DOCS), "leaf").select("h", "first_doc")
+    leaves = forms.where(F.col("n") >= MIN_SIMILAR).groupBy("leaf").agg(F.count("*").alias("n_forms"), F.sum("n_docs").alias("all_docs"))
+    leaves = leaves.where((F.col("n_forms") > 1) & (F.col("all_docs") >= MIN_DOCS)).select("leaf")
+    shared = forms.where(F.col("n") >= MIN_SIMILAR).join(leaves, "leaf").select("leaf", "h", "n", "sig")
+    near = staged(shared.groupBy("leaf").applyInArrow(_templates, "leaf long, h long, template long"), "near")
+    templates = lines.join(near, ["leaf", "h"]).groupBy("leaf", "template").agg(F.count_distinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    by_template = near.join(templates.where(F.col("n_docs") >= MIN_DOCS), ["leaf", "template"]).select("h", "first_doc")
     drop = forms.where(F.col("n_docs") >= MIN_DOCS).select("h", "first_doc").unionByName(by_template).groupBy("h").agg(F.min("first_doc").alias("first_doc"))
     hits = lines.join(staged(drop, "drop"), "h").where("doc_id > first_doc").select("doc_id", "h")
     return hits.groupBy("doc_id").agg(F.collect_set("h").alias("forms"))

@@ -2,7 +2,9 @@ import random
 import re
 from collections import Counter, defaultdict
 
-from termloom.llm.line_dedup import op9_line_dedup, without_recurring
+import numpy as np
+
+from termloom.llm.line_dedup import components, op9_line_dedup, without_recurring
 from tests.llm.brute import SPACE_WORD
 
 
@@ -72,3 +74,32 @@ def test_whole_table(spark, sf_dir):
     for r in out:
         left = r.text.split("\n") if r.n_lines > r.n_dropped else []
         assert len(left) == r.n_lines - r.n_dropped and not Counter(left) - Counter(docs[r.doc_id].split("\n"))
+
+
+def test_several_templates_in_a_leaf(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    families = [(f"click here to {a} the {b} ", f" {c} on our pages now") for a, b, c in (("read", "whole", "story"), ("see", "other", "offer"), ("join", "weekly", "letter"))]
+    rows = []
+    for d in range(24):
+        head, tail = families[d % 3]
+        rows.append((d, f"{head}{word()}{tail}\nown {word()} {word()}"))
+    rows.append((99, f"click here to {' '.join(word() for _ in range(9))}"))
+    out = {r.doc_id: r.text for r in without_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {d: t if d < 3 or d == 99 else t.split("\n")[1] for d, t in rows}
+
+
+def test_components_are_those_of_all_pairs():
+    for n, need in ((6, 5), (13, 11), (40, 32)):
+        rnd = np.random.default_rng(n)
+        sig = np.repeat(rnd.integers(0, 9, (12, n)), 8, axis=0).astype(np.uint16)
+        sig[:, :3] = 7
+        for row in sig:
+            at = rnd.choice(n, rnd.integers(0, n // 5 + 2), replace=False)
+            row[at] = rnd.integers(100, 999, len(at))
+        sig[:, :3] = 7
+        want = np.arange(len(sig))
+        near = (sig[:, None] == sig[None]).sum(axis=2) >= need
+        for _ in range(len(sig)):
+            want = np.array([want[x].min() for x in near])
+        assert components(sig).tolist() == want.tolist()
