@@ -5,9 +5,10 @@ variable fields and are generalised. Under a leaf, lines that agree in every gen
 one form. Forms of MIN_SIMILAR words or more that agree in at least SIMILAR percent of their words
 are linked, and linked forms (connected components) are instances of one template, their differing
 words being further variable fields; a leaf holds any number of templates. A form, or a template
-with its instances, that stands in at least MIN_DOCS documents recurs. It stays in the document
-with the smallest doc_id and is dropped from all others, so one document of a group of copies stays
-whole.
+with its instances, that stands in at least MIN_DOCS documents recurs; one of LONG words or more
+recurs from MIN_DOCS_LONG documents on, as so long a line does not repeat by chance. It stays in the
+document with the smallest doc_id and is dropped from all others, so one document of a group of
+copies stays whole.
 
 Lines travel as 64-bit hashes with two bytes a word, deduplicated within documents. The forms of one
 leaf (equal word count, first words equal) meet in one task, never its lines. Forms that agree in
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +34,7 @@ from . import textkernel as tk
 from .common import staged, table
 
 LEAD, MIN_DOCS = 3, 3
+LONG, MIN_DOCS_LONG = 50, 2
 MIN_SIMILAR, SIMILAR = 6, 80
 _FIELD = np.uint64(0xD1B54A32D192ED03)
 LINES = "doc_id long, h long, leaf long, n long, sig binary"
@@ -120,13 +122,19 @@ def components(sig: np.ndarray) -> np.ndarray:
 
 
 def _templates(forms: pa.Table) -> pa.Table:
-    """(leaf, h, template) of the forms of one leaf that are linked to others."""
+    """(leaf, n, h, template) of the forms of one leaf that are linked to others."""
     forms = forms.sort_by("h")
     n = forms["n"][0].as_py()
     h = forms["h"].to_numpy()
     label = components(np.frombuffer(b"".join(forms["sig"].to_pylist()), np.uint16).reshape(len(h), n))
     many = np.bincount(label, minlength=len(h))[label] > 1
-    return pa.table({"leaf": forms["leaf"].filter(pa.array(many)), "h": pa.array(h[many]), "template": pa.array(h[label[many]])})
+    own = forms.filter(pa.array(many))
+    return pa.table({"leaf": own["leaf"], "n": own["n"], "h": pa.array(h[many]), "template": pa.array(h[label[many]])})
+
+
+def _enough() -> Column:
+    """Documents from which on a line of n words recurs."""
+    return F.when(F.col("n") >= LONG, MIN_DOCS_LONG).otherwise(MIN_DOCS)
 
 
 def recurring(docs: DataFrame) -> DataFrame:
@@ -134,13 +142,13 @@ def recurring(docs: DataFrame) -> DataFrame:
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     lines = staged(ids.mapInArrow(_lines, LINES), "lines")
     forms = staged(lines.groupBy("leaf", "h", "n").agg(F.count_distinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.first("sig").alias("sig")), "forms")
-    leaves = forms.where(F.col("n") >= MIN_SIMILAR).groupBy("leaf").agg(F.count("*").alias("n_forms"), F.sum("n_docs").alias("all_docs"))
-    leaves = leaves.where((F.col("n_forms") > 1) & (F.col("all_docs") >= MIN_DOCS)).select("leaf")
+    leaves = forms.where(F.col("n") >= MIN_SIMILAR).groupBy("leaf", "n").agg(F.count("*").alias("n_forms"), F.sum("n_docs").alias("all_docs"))
+    leaves = leaves.where((F.col("n_forms") > 1) & (F.col("all_docs") >= _enough())).select("leaf")
     shared = forms.where(F.col("n") >= MIN_SIMILAR).join(leaves, "leaf").select("leaf", "h", "n", "sig")
-    near = staged(shared.groupBy("leaf").applyInArrow(_templates, "leaf long, h long, template long"), "near")
-    templates = lines.join(near, ["leaf", "h"]).groupBy("leaf", "template").agg(F.count_distinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
-    by_template = near.join(templates.where(F.col("n_docs") >= MIN_DOCS), ["leaf", "template"]).select("h", "first_doc")
-    drop = forms.where(F.col("n_docs") >= MIN_DOCS).select("h", "first_doc").unionByName(by_template).groupBy("h").agg(F.min("first_doc").alias("first_doc"))
+    near = staged(shared.groupBy("leaf").applyInArrow(_templates, "leaf long, n long, h long, template long"), "near")
+    templates = lines.join(near.drop("n"), ["leaf", "h"]).groupBy("leaf", "template").agg(F.count_distinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    by_template = near.join(templates, ["leaf", "template"]).where(F.col("n_docs") >= _enough()).select("h", "first_doc")
+    drop = forms.where(F.col("n_docs") >= _enough()).select("h", "first_doc").unionByName(by_template).groupBy("h").agg(F.min("first_doc").alias("first_doc"))
     hits = lines.join(staged(drop, "drop"), "h").where("doc_id > first_doc").select("doc_id", "h")
     return hits.groupBy("doc_id").agg(F.collect_set("h").alias("forms"))
 

@@ -103,3 +103,12 @@ def test_components_are_those_of_all_pairs():
         for _ in range(len(sig)):
             want = np.array([want[x].min() for x in near])
         assert components(sig).tolist() == want.tolist()
+
+
+def test_long_lines_recur_from_two_documents(spark):
+    line = lambda k: " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(k))
+    varied = line(60).split()
+    varied[10] = "other"
+    rows = [(1, line(50)), (2, f"x\n{line(50)}"), (3, line(49)), (4, f"y\n{line(49)}"), (5, line(60)), (6, f"z\n{' '.join(varied)}")]
+    out = {r.doc_id: r.text for r in without_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == dict(rows) | {2: "x", 6: "z"}
