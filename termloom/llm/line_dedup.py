@@ -35,6 +35,8 @@ from .common import staged, table
 
 LEAD, MIN_DOCS = 3, 3
 LONG, MIN_DOCS_LONG = 50, 2
+#: Forms of a leaf up to which no bands are made.
+SMALL = 64
 MIN_SIMILAR, SIMILAR = 6, 80
 _FIELD = np.uint64(0xD1B54A32D192ED03)
 LINES = "doc_id long, h long, leaf long, n long, sig binary"
@@ -98,9 +100,9 @@ def components(sig: np.ndarray) -> np.ndarray:
     m, n = sig.shape
     need = -(-SIMILAR * n // 100)
     label = np.arange(m)
-    for band in np.array_split(np.arange(min(LEAD, n - 1), n), n - need + 1):
-        if not len(band):
-            band = np.arange(n)
+    # few forms are compared all with all, as if they shared one band
+    bands = [np.arange(LEAD)] if m <= SMALL else np.array_split(np.arange(LEAD, n), n - need + 1)
+    for band in bands:
         key = np.ascontiguousarray(sig[:, band]).view(f"V{2 * len(band)}").ravel()
         _, of = np.unique(key, return_inverse=True)
         order = np.argsort(of, kind="stable")
