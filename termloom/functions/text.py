@@ -74,10 +74,78 @@ def handle(url: Column) -> Column:
     return F.concat(F.lit("@"), F.try_element_at(F.split(F.try_parse_url(url, F.lit("PATH")), "/"), F.lit(2)))
 
 
+def handle_at(urls: Column, suffix: str, host: str) -> Column:
+    """@name of the first of an array of URLs whose host ends in suffix or is host; null without one."""
+    own = F.filter(urls, lambda u: F.coalesce(url_host(u).endswith(suffix) | (url_host(u) == host), F.lit(False)))
+    return handle(F.try_element_at(own, F.lit(1)))
+
+
 def file_extension(path: Column) -> Column:
     return F.regexp_extract(path, r"\.[A-Za-z0-9]+$", 0)
 
 
+def file_kind(path: Column) -> Column:
+    """pdf, link (pages and paths without an extension) or file."""
+    ext = file_extension(path)
+    return F.when(ext == ".pdf", F.lit("pdf")).when(ext.isin("", ".html", ".htm"), F.lit("link")).otherwise(F.lit("file"))
+
+
+def without_prefix(path: Column, prefix: str) -> Column:
+    """path without a leading pattern where the rest is a URL by itself, else path as it is."""
+    rest = F.regexp_replace(path, f"^{prefix}", "")
+    return F.when(url_host(rest).isNotNull(), rest).otherwise(path)
+
+
+def looked_up(key: Column, names: Column) -> Column:
+    """The entry of a map, else the key itself."""
+    return F.coalesce(F.try_element_at(names, key), key)
+
+
+def image_options(size: Column, x: Column, y: Column) -> Column:
+    """Display options: only known sizes; a position where either coordinate is given, 50 for absent or 0."""
+    placed = F.when(x.isNotNull() | y.isNotNull(), F.array(or_default(x, 50), or_default(y, 50)))
+    return F.struct(F.when(size.isin("cover", "contain"), size).alias("size"), placed.alias("position"))
+
+
+def is_truthy(s: Column) -> Column:
+    return F.coalesce(s != "", F.lit(False))
+
+
+def has_fields(fields: Column, required: list[str]) -> Column:
+    """True where a map holds every required field with a value that isn't empty."""
+    ok = F.lit(True)
+    for k in required:
+        ok &= is_truthy(F.try_element_at(fields, F.lit(k)))
+    return ok
+
+
+def has_props(fields: Column, props: list[str]) -> Column:
+    """True where a map has all keys, whatever their values."""
+    ok = F.lit(True)
+    for k in props:
+        ok &= F.map_contains_key(fields, k)
+    return ok
+
+
+def rich_text(s: Column) -> Column:
+    """A one-paragraph document tree as JSON."""
+    leaf = F.struct(F.lit("text").alias("type"), s.alias("text"))
+    paragraph = F.struct(F.lit("p").alias("type"), F.array(leaf).alias("children"))
+    return F.to_json(F.struct(F.lit("root").alias("type"), F.array(paragraph).alias("children")))
+
+
+def has_rich_text(tree: Column) -> Column:
+    """True where a JSON tree has several children, or one whose first child has a text."""
+    kids = F.from_json(F.get_json_object(tree, "$.children"), "array<string>")
+    one = is_truthy(F.get_json_object(tree, "$.children[0].children[0].text"))
+    return F.coalesce((F.size(kids) > 1) | ((F.size(kids) == 1) & one), F.lit(False))
+
+
+def form_content(content: Column, status: Column) -> Column:
+    """The entry of a status, else the initial one."""
+    return F.coalesce(F.try_element_at(content, status), F.try_element_at(content, F.lit("initial")))
+
+
 def heading(level: Column) -> Column:
     """h1 to h6; deeper levels stay h6."""
     return F.element_at(F.array(*(F.lit(f"h{k}") for k in range(1, 7))), F.least(level, F.lit(6)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import staged
+
 
 def sent_count(sents: DataFrame) -> DataFrame:
     return sents.groupBy("graph_id").agg(F.count("*").alias("n_sents"))
@@ -15,13 +17,18 @@ def sent_freq(sents: DataFrame) -> DataFrame:
     return sents.select("graph_id", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("graph_id", "token").agg(F.count("*").alias("freq"))
 
 
+def _counted(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("graph_id", "a", "b").agg(F.count("*").alias("cooc"))
+
+
 def pair_counts(sents: DataFrame) -> DataFrame:
-    """(graph_id, a, b, cooc), a < b: sentences that hold both. Pairs are made inside the row, so
-    the only shuffle carries partial counts."""
+    """(graph_id, a, b, cooc), a < b: sentences that hold both. A sentence's pairs are made one first
+    token at a time, so a long one is never a list of all its pairs; the only shuffle carries
+    partial counts."""
     u = F.array_sort(F.array_distinct("tokens"))
     s = sents.select("graph_id", u.alias("u")).where(F.size("u") > 1)
-    pairs = F.flatten(F.transform("u", lambda a, i: F.transform(F.slice("u", i + 2, F.size("u")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return s.select("graph_id", F.explode(pairs).alias("p")).groupBy("graph_id", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("cooc"))
+    s = s.select("graph_id", "u", F.posexplode("u").alias("i", "a"))
+    return _counted(s.select("graph_id", "a", F.explode(F.slice("u", F.col("i") + 2, F.size("u"))).alias("b")))
 
 
 def pmi(cooc: Column, freq_a: Column, freq_b: Column, n: Column) -> Column:
@@ -30,12 +37,19 @@ def pmi(cooc: Column, freq_a: Column, freq_b: Column, n: Column) -> Column:
     return F.when(some, F.ln((cooc * n).cast("double") / (freq_a * freq_b))).otherwise(F.lit(float("-inf")))
 
 
+def marginals(sents: DataFrame) -> DataFrame:
+    """(graph_id, token, freq, n_sents): what a pair's PMI needs beside its own count."""
+    return sent_freq(sents).join(sent_count(sents), "graph_id")
+
+
+def _with_marginals(pairs: DataFrame, m: DataFrame) -> DataFrame:
+    p = pairs.join(m.select("graph_id", F.col("token").alias("a"), F.col("freq").alias("freq_a"), "n_sents"), ["graph_id", "a"])
+    return p.join(m.select("graph_id", F.col("token").alias("b"), F.col("freq").alias("freq_b")), ["graph_id", "b"])
+
+
 def pair_stats(sents: DataFrame) -> DataFrame:
-    """Pairs with the counts that their PMI is made from."""
-    f = sent_freq(sents)
-    p = pair_counts(sents).join(f.select("graph_id", F.col("token").alias("a"), F.col("freq").alias("freq_a")), ["graph_id", "a"])
-    p = p.join(f.select("graph_id", F.col("token").alias("b"), F.col("freq").alias("freq_b")), ["graph_id", "b"])
-    return p.join(sent_count(sents), "graph_id")
+    """Pairs with the counts that their PMI is made from. sents is read several times."""
+    return _with_marginals(pair_counts(sents), staged(marginals(sents), "marginals"))
 
 
 def pmi_scores(sents: DataFrame) -> DataFrame:
@@ -52,7 +66,46 @@ def pmi_of(stats: DataFrame, freq: DataFrame, n: DataFrame, wanted: DataFrame) -
     return w.select("graph_id", "a", "b", pmi(F.col("cooc"), F.col("freq_a"), F.col("freq_b"), F.col("n_sents")).alias("pmi"))
 
 
-def pmi_edges(sents: DataFrame) -> DataFrame:
+def _positive(stats: DataFrame) -> DataFrame:
     """Edges of positive PMI. The test is on whole numbers, before any logarithm."""
-    p = pair_stats(sents).where(F.col("cooc") * F.col("n_sents") > F.col("freq_a") * F.col("freq_b"))
+    p = stats.where(F.col("cooc") * F.col("n_sents") > F.col("freq_a") * F.col("freq_b"))
     return p.select("graph_id", F.col("a").alias("source"), F.col("b").alias("target"), pmi(F.col("cooc"), F.col("freq_a"), F.col("freq_b"), F.col("n_sents")).alias("weight"))
+
+
+def pmi_edges(sents: DataFrame) -> DataFrame:
+    return _positive(pair_stats(sents))
+
+
+class PmiGraph:
+    """The graph of positive PMI over sents(graph_id, tokens), of which only the asked parts are made:
+    edges at a few nodes cost one look at each sentence, not all its pairs. sents is read a few times."""
+
+    def __init__(self, sents: DataFrame):
+        self.sents = sents
+        self.marginals = staged(marginals(sents), "marginals")
+
+    def _own(self, nodes: DataFrame) -> DataFrame:
+        """(graph_id, u, own): distinct tokens of sentences, and those among nodes(graph_id, id), which
+        are few in each graph."""
+        few = staged(nodes.groupBy("graph_id").agg(F.collect_set("id").alias("ids")), "nodes")
+        s = self.sents.join(few, "graph_id").select("graph_id", F.array_distinct("tokens").alias("u"), "ids")
+        return s.select("graph_id", "u", F.array_intersect("u", "ids").alias("own")).where(F.size("own") > 0)
+
+    def at(self, nodes: DataFrame) -> DataFrame:
+        """Edges (graph_id, source, target, weight) with an end in nodes."""
+        s = self._own(nodes).select("graph_id", "u", "own", F.explode("own").alias("x"))
+        s = s.select("graph_id", "own", "x", F.explode("u").alias("y")).where("x <> y and not (y < x and array_contains(own, y))")
+        return _positive(_with_marginals(_counted(s.select("graph_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))), self.marginals))
+
+    def among(self, nodes: DataFrame) -> DataFrame:
+        """Edges with both ends in nodes."""
+        s = self._own(nodes).select("graph_id", F.col("own").alias("tokens"))
+        return _positive(_with_marginals(pair_counts(s), self.marginals))
+
+    def graphs(self) -> DataFrame:
+        return self.marginals.select("graph_id").distinct()
+
+    def whole(self, graphs: DataFrame) -> DataFrame:
+        """All edges of some graphs(graph_id)."""
+        s = self.sents.join(graphs, "graph_id", "left_semi")
+        return _positive(_with_marginals(pair_counts(s), self.marginals))

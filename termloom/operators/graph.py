@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import staged
+
 
 def symmetric(edges: DataFrame) -> DataFrame:
     """(graph_id, node, other, weight) in both directions."""
@@ -24,15 +26,19 @@ def neighbours(edges: DataFrame, of: DataFrame) -> DataFrame:
     return s.join(of.select("graph_id", "term"), ["graph_id", "term"])
 
 
-def two_hop(edges: DataFrame, terms: DataFrame) -> DataFrame:
-    """(graph_id, term, node, score) of nodes two steps away: the largest product of two weights."""
-    one = neighbours(edges, terms)
+def _second(edges: DataFrame, one: DataFrame) -> DataFrame:
+    """(graph_id, term, node, score) of nodes one step beyond one(graph_id, term, node, weight)."""
     step = symmetric(edges).select("graph_id", F.col("node").alias("mid"), F.col("other").alias("node"), F.col("weight").alias("w2"))
     reached = one.select("graph_id", "term", F.col("node").alias("mid"), F.col("weight").alias("w1")).join(step, ["graph_id", "mid"]).where("node <> term")
     reached = reached.join(one.select("graph_id", "term", "node"), ["graph_id", "term", "node"], "left_anti")
     return reached.groupBy("graph_id", "term", "node").agg(F.max(F.col("w1") * F.col("w2")).alias("score"))
 
 
+def two_hop(edges: DataFrame, terms: DataFrame) -> DataFrame:
+    """(graph_id, term, node, score) of nodes two steps away: the largest product of two weights."""
+    return _second(edges, neighbours(edges, terms))
+
+
 def ranked(edges: DataFrame, terms: DataFrame) -> DataFrame:
     """(graph_id, term, node, hop, score): the neighbourhood of each term."""
     one = neighbours(edges, terms).select("graph_id", "term", "node", F.lit(1).alias("hop"), F.col("weight").alias("score"))
@@ -55,11 +61,17 @@ def ego(edges: DataFrame, terms: DataFrame, radius: int = 2) -> DataFrame:
     return out
 
 
+def _first(ranked: DataFrame, k: int) -> DataFrame:
+    """The first k rows of each graph with their rank; the planner limits each task's rows to k before
+    they are shuffled."""
+    w = W.partitionBy("graph_id").orderBy(F.asc("hop"), F.desc("score"), F.asc("node"))
+    return ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def top_neighbourhood(edges: DataFrame, terms: DataFrame, max_nodes: int) -> DataFrame:
     """The nodes that stay: direct neighbours by weight, then two-step ones by product; ties by
     node. One window does for both limits."""
-    w = W.partitionBy("graph_id").orderBy(F.asc("hop"), F.desc("score"), F.asc("node"))
-    return ranked(edges, terms).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_nodes)
+    return _first(ranked(edges, terms), max_nodes)
 
 
 def induced(edges: DataFrame, keep: DataFrame) -> DataFrame:
@@ -69,14 +81,52 @@ def induced(edges: DataFrame, keep: DataFrame) -> DataFrame:
     return edges.select("graph_id", "source", "target", "weight")
 
 
-def pruned(edges: DataFrame, terms: DataFrame, max_nodes: int) -> DataFrame:
+class ListedGraph:
+    """Edges that are at hand, as parts that pruned() asks for."""
+
+    def __init__(self, edges: DataFrame):
+        self.edges = staged(edges.select("graph_id", "source", "target", "weight"), "edges")
+
+    def at(self, nodes: DataFrame) -> DataFrame:
+        ends = [nodes.select("graph_id", F.col("id").alias(c)).distinct() for c in ("source", "target")]
+        first = self.edges.join(ends[0], ["graph_id", "source"], "left_semi")
+        rest = self.edges.join(ends[0], ["graph_id", "source"], "left_anti").join(ends[1], ["graph_id", "target"], "left_semi")
+        return first.unionByName(rest)
+
+    def among(self, nodes: DataFrame) -> DataFrame:
+        return induced(self.edges, nodes)
+
+    def graphs(self) -> DataFrame:
+        return self.edges.select("graph_id").distinct()
+
+    def whole(self, graphs: DataFrame) -> DataFrame:
+        return self.edges.join(graphs, "graph_id", "left_semi")
+
+
+def pruned(edges, terms: DataFrame, max_nodes: int) -> DataFrame:
     """Each graph around its term, at most max_nodes nodes beside it. A graph whose term has no
-    edge is returned whole."""
-    top = top_neighbourhood(edges, terms, max_nodes)
-    centre = terms.select("graph_id", F.col("term").alias("id"))
-    has = top.select("graph_id").distinct()
-    keep = top.select("graph_id", F.col("node").alias("id")).unionByName(centre.join(has, "graph_id", "left_semi"))
-    return induced(edges, keep).unionByName(edges.join(has, "graph_id", "left_anti").select("graph_id", "source", "target", "weight"))
+    edge is returned whole. edges is a frame, or a graph that makes only the edges asked for: those at
+    the term, those at its neighbours where they are too few, and those among the nodes that stay.
+    What is carried from step to step is max_nodes rows a graph."""
+    if isinstance(edges, DataFrame):
+        edges = ListedGraph(edges)
+    terms = terms.select("graph_id", "term")
+    one = neighbours(edges.at(terms.select("graph_id", F.col("term").alias("id"))), terms)
+    one = staged(_first(one.select("graph_id", "term", "node", F.lit(1).alias("hop"), F.col("weight").alias("score")), max_nodes), "one")
+    short = staged(one.groupBy("graph_id").agg(F.count("*").alias("n")).where(F.col("n") < max_nodes), "short")
+    top = one
+    if not short.isEmpty():
+        # all of a short graph's direct neighbours are in one
+        own = one.join(short, "graph_id", "left_semi")
+        reach = edges.at(own.select("graph_id", F.col("node").alias("id")))
+        far = _second(reach, own.select("graph_id", "term", "node", F.col("score").alias("weight")))
+        far = far.select("graph_id", "term", "node", F.lit(2).alias("hop"), "score")
+        far = _first(far, max_nodes).join(short, "graph_id").where(F.col("rank") <= max_nodes - F.col("n")).select(one.columns)
+        top = staged(one.unionByName(far), "top")
+    centre = one.select("graph_id", F.col("term").alias("id")).distinct()
+    out = edges.among(top.select("graph_id", F.col("node").alias("id")).unionByName(centre))
+    absent = staged(edges.graphs().join(one.select("graph_id").distinct(), "graph_id", "left_anti"), "absent")
+    return out if absent.isEmpty() else out.unionByName(edges.whole(absent))
 
 
 def sizes(edges: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import staged
 
 
 def sentences(docs: DataFrame, graph_id: Column, text: str = "text", split: Callable = T.english_sentences, tokens: Callable = T.english_tokens) -> DataFrame:
@@ -45,9 +46,11 @@ def vocabulary(sents: DataFrame, terms: DataFrame, min_freq: int, stopwords: lis
 
 def restricted(sents: DataFrame, vocab: DataFrame, least: int = 2) -> DataFrame:
     """Sentences with only vocabulary tokens, order and repeats kept; those left with fewer than
-    least tokens, repeats counted, are dropped."""
+    least tokens, repeats counted, are dropped. The vocabulary is written first: by its true size
+    the planner sends it to all tasks or joins by token. Tokens of a sentence are put together again
+    in the task that took it apart, before the one shuffle, which carries whole lists."""
     t = sents.select("graph_id", "doc_id", "sent_id", F.posexplode("tokens").alias("pos", "token"))
-    return token_lists(t.join(vocab, ["graph_id", "token"], "left_semi")).where(F.size("tokens") >= least)
+    return token_lists(t.join(staged(vocab, "vocabulary"), ["graph_id", "token"], "left_semi")).where(F.size("tokens") >= least)
 
 
 def pooled(first: Column, *more: Column) -> Column:

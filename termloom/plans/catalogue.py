@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import adapters
 from ..functions import text as T
 from ..model import NODE_LINK
-from ..operators import cooccur, dictionary, graph, layout, similarity, vocab
+from ..operators import cooccur, dictionary, graph, icons, layout, similarity, vocab
 from ..sources import readers, writers
+from ..storage import new_path, shipped, staged
 from ..streaming import counts
 from . import network
 
 TERM, MIN_FREQ, MAX_NODES = "er", 22, 15
-TERMS = ["er", "ha"]
-#: Rows of common tokens are nearly dense, so the cosine queries take a smaller vocabulary.
-COSINE_FREQ = 150
+TERMS = ["er", "ha", "ou"]
 #: Fixed value: similarity from which a cosine edge stands.
 SIM = 0.7
 QUERIES: dict = {}
@@ -26,7 +24,7 @@ SQL: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = shipped(f)
         if sql is not None:
             SQL[f.__name__] = sql
         return f
@@ -45,11 +43,11 @@ def _terms(spark: SparkSession, rows: list[tuple[str, str]] = (("en", TERM),)) -
 
 def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _english(spark, sf_dir)
-    return vocab.restricted(s, vocab.vocabulary(s, _terms(spark), MIN_FREQ)).persist()
+    return staged(vocab.restricted(s, vocab.vocabulary(s, _terms(spark), MIN_FREQ)), "kept")
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cooccur.pmi_edges(_kept(spark, sf_dir)).persist()
+    return staged(cooccur.pmi_edges(_kept(spark, sf_dir)), "edges")
 
 
 def _rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -64,27 +62,27 @@ def chain(docs: str = "select 'en' as graph_id, doc_id, text from documents wher
     return rf"""with docs as ({docs}), terms as ({terms}),
 parts as (select graph_id, doc_id, string_split_regex(text, '[.!?\n]+') as l from docs),
 lists as (select graph_id, doc_id, unnest(range(len(l))) as sent_id, unnest(l) as s from parts),
-sents as (select graph_id, doc_id, sent_id, list_filter(regexp_extract_all(lower(s), '[a-z]+'), lambda x: x not in ({_STOP})) as tokens from lists),
-tok as (select graph_id, doc_id, sent_id, unnest(tokens) as token, unnest(range(len(tokens))) as pos from sents where len(tokens) > 0),
-freq as (select graph_id, token, count(*) as freq from tok group by all),
-vocab as (select graph_id, token from freq where freq >= {min_freq} union select graph_id, term from terms),
-kept as (select * from (select tok.*, count(*) over (partition by graph_id, doc_id, sent_id) as n from tok semi join vocab using (graph_id, token)) where n >= 2),
-once as (select distinct graph_id, doc_id, sent_id, token from kept),
-sf as (select graph_id, token, count(*) as freq from once group by all),
-ns as (select graph_id, count(*) as n_sents from (select distinct graph_id, doc_id, sent_id from kept) group by all),
-pairs as (select x.graph_id, x.token as a, y.token as b, count(*) as cooc from once x join once y on x.graph_id = y.graph_id and x.doc_id = y.doc_id and x.sent_id = y.sent_id and x.token < y.token group by all),
-stats as (select p.*, fa.freq as freq_a, fb.freq as freq_b, n_sents from pairs p join sf fa on fa.graph_id = p.graph_id and fa.token = a join sf fb on fb.graph_id = p.graph_id and fb.token = b join ns on ns.graph_id = p.graph_id),
-edges as (select graph_id, a as source, b as target, ln(cast(cooc * n_sents as double) / (freq_a * freq_b)) as weight from stats where cooc * n_sents > freq_a * freq_b)"""
+sents as materialized (select graph_id, doc_id, sent_id, list_filter(regexp_extract_all(lower(s), '[a-z]+'), lambda x: x not in ({_STOP})) as tokens from lists),
+tok as materialized (select graph_id, doc_id, sent_id, unnest(tokens) as token, unnest(range(len(tokens))) as pos from sents where len(tokens) > 0),
+freq as materialized (select graph_id, token, count(*) as freq from tok group by all),
+vocab as materialized (select graph_id, token from freq where freq >= {min_freq} union select graph_id, term from terms),
+kept as materialized (select * from (select tok.*, count(*) over (partition by graph_id, doc_id, sent_id) as n from tok semi join vocab using (graph_id, token)) where n >= 2),
+once as materialized (select distinct graph_id, doc_id, sent_id, token from kept),
+sf as materialized (select graph_id, token, count(*) as freq from once group by all),
+ns as materialized (select graph_id, count(*) as n_sents from (select distinct graph_id, doc_id, sent_id from kept) group by all),
+pairs as materialized (select x.graph_id, x.token as a, y.token as b, count(*) as cooc from once x join once y on x.graph_id = y.graph_id and x.doc_id = y.doc_id and x.sent_id = y.sent_id and x.token < y.token group by all),
+stats as materialized (select p.*, fa.freq as freq_a, fb.freq as freq_b, n_sents from pairs p join sf fa on fa.graph_id = p.graph_id and fa.token = a join sf fb on fb.graph_id = p.graph_id and fb.token = b join ns on ns.graph_id = p.graph_id),
+edges as materialized (select graph_id, a as source, b as target, ln(cast(cooc * n_sents as double) / (freq_a * freq_b)) as weight from stats where cooc * n_sents > freq_a * freq_b)"""
 
 
 #: From edges and terms to the pruned graph.
-PRUNE = f"""sym as (select graph_id, source as node, target as other, weight from edges union all select graph_id, target, source, weight from edges),
-one as (select t.graph_id, t.term, s.other as node, s.weight as score from terms t join sym s on s.graph_id = t.graph_id and s.node = t.term),
-two as (select o.graph_id, o.term, s.other as node, max(o.score * s.weight) as score from one o join sym s on s.graph_id = o.graph_id and s.node = o.node where s.other <> o.term group by all),
-far as (select * from two anti join one using (graph_id, term, node)),
-hood as (select *, 1 as hop from one union all select *, 2 as hop from far),
-top as (select *, row_number() over (partition by graph_id order by hop, score desc, node) as rank from hood),
-keep as (select graph_id, node from top where rank <= {MAX_NODES} union select graph_id, term from terms where graph_id in (select graph_id from one)),
+PRUNE = f"""sym as materialized (select graph_id, source as node, target as other, weight from edges union all select graph_id, target, source, weight from edges),
+one as materialized (select t.graph_id, t.term, s.other as node, s.weight as score from terms t join sym s on s.graph_id = t.graph_id and s.node = t.term),
+two as materialized (select o.graph_id, o.term, s.other as node, max(o.score * s.weight) as score from one o join sym s on s.graph_id = o.graph_id and s.node = o.node where s.other <> o.term group by all),
+far as materialized (select * from two anti join one using (graph_id, term, node)),
+hood as materialized (select *, 1 as hop from one union all select *, 2 as hop from far),
+top as materialized (select *, row_number() over (partition by graph_id order by hop, score desc, node) as rank from hood),
+keep as materialized (select graph_id, node from top where rank <= {MAX_NODES} union select graph_id, term from terms where graph_id in (select graph_id from one)),
 pruned as (select e.* from edges e where (e.graph_id, e.source) in (select graph_id, node from keep) and (e.graph_id, e.target) in (select graph_id, node from keep)
   union all select e.* from edges e where e.graph_id not in (select graph_id from one))"""
 
@@ -163,7 +161,7 @@ def proximity(spark, sf_dir):
     s = _english(spark, sf_dir)
     words = vocab.vocabulary(s, _terms(spark), MIN_FREQ)
     wanted = words.where(F.col("token") != TERM).select("graph_id", F.lit(TERM).alias("term"), F.col("token").alias("node"))
-    return _rounded(graph.proximity(cooccur.pmi_edges(vocab.restricted(s, words)).persist(), wanted).select("node", "score"), "score")
+    return _rounded(graph.proximity(staged(cooccur.pmi_edges(staged(vocab.restricted(s, words), "kept")), "edges"), wanted).select("node", "score"), "score")
 
 
 @query(f"{chain()}, {PRUNE} select node from hood union select '{TERM}' where exists (from one)")
@@ -197,33 +195,28 @@ def cooccurrence_by_doc_and_pooled(spark, sf_dir):
     return _rounded(network.cooccurrence_network(sents, terms, MIN_FREQ, MAX_NODES), "weight")
 
 
-_COS = chain(min_freq=COSINE_FREQ) + """, occ as (select graph_id, doc_id, sent_id, token, count(*) as c from kept group by all),
-cells as (select x.graph_id, x.token as a, y.token as b, sum(x.c * y.c) as m from occ x join occ y on x.graph_id = y.graph_id and x.doc_id = y.doc_id and x.sent_id = y.sent_id and x.token < y.token group by all),
-mir as (select * from cells union all select graph_id, b, a, m from cells),
-norm as (select graph_id, a as id, sum(m * m) as sq from mir group by all),
+_COS = chain() + """, occ as (select graph_id, doc_id, sent_id, token, count(*) as c from kept group by all),
+cells as materialized (select x.graph_id, x.token as a, y.token as b, sum(x.c * y.c) as m from occ x join occ y on x.graph_id = y.graph_id and x.doc_id = y.doc_id and x.sent_id = y.sent_id and x.token < y.token group by all),
+mir as materialized (select * from cells union all select graph_id, b, a, m from cells),
+norm as materialized (select graph_id, a as id, sum(m * m) as sq from mir group by all),
 dots as (select x.graph_id, x.a as source, y.a as target, sum(x.m * y.m) as dot from mir x join mir y on x.graph_id = y.graph_id and x.b = y.b and x.a < y.a group by all),
-cosine as (select d.graph_id, source, target, cast(dot as double) / (sqrt(cast(p.sq as double)) * sqrt(cast(q.sq as double))) as weight from dots d join norm p on p.id = source join norm q on q.id = target)"""
-
-
-def _common(spark, sf_dir):
-    s = _english(spark, sf_dir)
-    return vocab.restricted(s, vocab.vocabulary(s, _terms(spark), COSINE_FREQ)).persist()
+cosine as materialized (select d.graph_id, source, target, cast(dot as double) / (sqrt(cast(p.sq as double)) * sqrt(cast(q.sq as double))) as weight from dots d join norm p on p.id = source join norm q on q.id = target)"""
 
 
 @query(f"{_COS} select a, b, cast(m as bigint) as m from cells")
 def context_matrix(spark, sf_dir):
-    return similarity.context_cells(_common(spark, sf_dir)).select("a", "b", "m")
+    return similarity.context_cells(_kept(spark, sf_dir)).select("a", "b", "m")
 
 
 @query(f"{_COS} select source, target, round(weight, 6) as weight from cosine where round(weight, 6) >= {SIM}")
 def cosine_edges(spark, sf_dir):
-    e = similarity.cosine_edges(similarity.context_cells(_common(spark, sf_dir)), SIM - 1e-4)
+    e = similarity.cosine_edges(similarity.context_cells(_kept(spark, sf_dir)), SIM - 1e-4)
     return e.select("source", "target", F.round("weight", 6).alias("weight")).where(F.col("weight") >= SIM)
 
 
-@query(f"{_COS.replace('edges as (', 'pmi_edges as (')}, edges as (select * from cosine where weight >= {SIM}), {PRUNE} select source, target, round(weight, 6) as weight from pruned")
+@query(f"{_COS.replace('edges as materialized (', 'pmi_edges as (')}, edges as materialized (select * from cosine where weight >= {SIM}), {PRUNE} select source, target, round(weight, 6) as weight from pruned")
 def similarity_network(spark, sf_dir):
-    e = network.similarity_network(_english(spark, sf_dir), _terms(spark), COSINE_FREQ, MAX_NODES, SIM)
+    e = network.similarity_network(_english(spark, sf_dir), _terms(spark), MIN_FREQ, MAX_NODES, SIM)
     return e.select("source", "target", F.round("weight", 6).alias("weight"))
 
 
@@ -267,13 +260,15 @@ def url_strip_query(spark, sf_dir):
     return readers.table(spark, sf_dir, "pages").select("page_id", T.without_query(F.concat("url", F.lit("?q=1#top"))).alias("url"))
 
 
-@query("""with rows as (select min(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) as host, 'site' as icon from pages)
-select page_id, coalesce(r.icon, case when url like 'https:%' then 'lock' when url like 'http:%' then 'globe' end) as icon from pages left join rows r on r.host = regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)""")
+#: Entries of the icon table: name and URL; an entry without a host stands for its scheme.
+_ICONS = [("site", "https://m.ththth.example.net/"), ("lock", "https:"), ("globe", "http:"), ("mail", "mailto:")]
+
+
+@query("""select page_id, case when host = 'm.ththth.example.net' then 'site' when url like 'https:%' then 'lock' when url like 'http:%' then 'globe' end as icon
+from (select page_id, url, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) as host from pages)""")
 def url_lookup(spark, sf_dir):
-    p = readers.table(spark, sf_dir, "pages").select("page_id", T.url_host(F.col("url")).alias("host"), F.try_parse_url("url", F.lit("PROTOCOL")).alias("protocol"))
-    hosts = p.agg(F.min("host").alias("host")).withColumn("by_host", F.lit("site"))
-    protocols = spark.createDataFrame([("https", "lock"), ("http", "globe")], "protocol string, by_protocol string")
-    return p.join(hosts, "host", "left").join(protocols, "protocol", "left").select("page_id", F.coalesce("by_host", "by_protocol").alias("icon"))
+    p = readers.table(spark, sf_dir, "pages").select("page_id", "url")
+    return icons.matched(p, "url", spark.createDataFrame(_ICONS, "name string, url string")).select("page_id", "icon")
 
 
 _SLUG = """substr(regexp_replace(regexp_replace(translate(lower(title), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 12)"""
@@ -359,7 +354,7 @@ _PLACED = "placed as (select node as id, cast(length(node) * 10 as double) as x,
 
 @query(f"{chain()}, {PRUNE}, {_PLACED} select source, target, p.x / 100 * 640 as x1, p.y / 100 * 480 as y1, q.x / 100 * 640 as x2, q.y / 100 * 480 as y2 from pruned join placed p on p.id = source join placed q on q.id = target")
 def edge_endpoints(spark, sf_dir):
-    e = network.cooccurrence_network(_english(spark, sf_dir), _terms(spark), MIN_FREQ, MAX_NODES).persist()
+    e = network.cooccurrence_network(_english(spark, sf_dir), _terms(spark), MIN_FREQ, MAX_NODES)
     at = graph.non_isolated(e).select("graph_id", "id", (F.length("id") * 10).cast("double").alias("x"), (F.ascii("id") % 100).cast("double").alias("y"))
     w, h = F.lit(640), F.lit(480)
     p = graph.endpoints(e, at)
@@ -376,7 +371,7 @@ def node_link_json(spark, sf_dir):
 
 @query(f"{chain()}, {PRUNE} select graph_id, (select count(distinct n) from (select source as n from pruned union select target from pruned)) as n_nodes, count(*) as n_edges from pruned group by graph_id")
 def graph_sizes(spark, sf_dir):
-    return graph.sizes(network.cooccurrence_network(_english(spark, sf_dir), _terms(spark), MIN_FREQ, MAX_NODES).persist())
+    return graph.sizes(network.cooccurrence_network(_english(spark, sf_dir), _terms(spark), MIN_FREQ, MAX_NODES))
 
 
 _TURNS = f"""select 'turns' as graph_id, conv_id * 1000 + turn as doc_id, regexp_replace(text, '[.!?\\n]+', ' ', 'g') as text from conversations"""
@@ -396,18 +391,213 @@ def network_layout(spark, sf_dir):
     return layout.layout(e, _terms(spark))
 
 
-_PLAIN = f"""with parts as (select doc_id, string_split_regex(text, '[.!?\\n]+') as l from documents where lang = 'en' and source = 'src1'),
+_PLAIN = f"""with parts as (select doc_id, string_split_regex(text, '[.!?\\n]+') as l from documents where lang = 'en'),
 lists as (select doc_id, unnest(range(len(l))) as sent_id, unnest(l) as s from parts),
-tok as (select distinct doc_id, sent_id, unnest(list_filter(regexp_extract_all(lower(s), '[a-z]+'), lambda x: x not in ({_STOP}))) as token from lists)"""
+tok as materialized (select distinct doc_id, sent_id, unnest(list_filter(regexp_extract_all(lower(s), '[a-z]+'), lambda x: x not in ({_STOP}))) as token from lists)"""
 
 
-@query(f"{_PLAIN} select x.token as a, y.token as b, count(*) as cooc from tok x join tok y on x.doc_id = y.doc_id and x.sent_id = y.sent_id and x.token < y.token group by all")
-def streaming_pair_counts(spark, sf_dir):
-    """Pair counts of one source kept by a structured stream, as they stand at its end."""
+def _english_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = readers.table(spark, sf_dir, "documents").schema
     docs = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents*.parquet")
-    s = vocab.sentences(docs.where("lang = 'en' and source = 'src1'"), F.lit("en"))
-    name = f"pairs_{uuid.uuid4().hex}"
-    run = counts.pair_count_stream(s).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    return vocab.sentences(docs.where("lang = 'en'"), F.lit("en"))
+
+
+@query(f"{_PLAIN} select x.token as a, y.token as b, count(*) as cooc from tok x join tok y on x.doc_id = y.doc_id and x.sent_id = y.sent_id and x.token < y.token group by all")
+def streaming_pair_counts(spark, sf_dir):
+    """Pair counts kept by a structured stream, as they stand at its end."""
+    return counts.final_counts(_english_stream(spark, sf_dir)).select("a", "b", "cooc")
+
+
+@query(f"{chain()}, {PRUNE} select source, target, round(weight, 9) as weight from pruned")
+def streaming_network(spark, sf_dir):
+    """The network after the last micro-batch of a stream."""
+    gathered, out = new_path(spark, "sentences"), []
+    on_batch = counts.network_per_batch(_terms(spark), MIN_FREQ, MAX_NODES, gathered, lambda net, _: out.append(net))
+    run = _english_stream(spark, sf_dir).writeStream.foreachBatch(on_batch).option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name).select("a", "b", "cooc")
+    return _rounded(out[-1].select("source", "target", "weight"), "weight")
+
+
+#: Letters of the conversations as characters, so that the classical path runs over a whole table; some
+#: of them are stop words.
+_LETTERS, _HANZI = "abcdefghijklmnopqrstuvwxyzéèêçäöü.", "仁之義禮智信也孝悌忠恕道德性命天地心氣君臣父子民國王聖賢學樂政刑。"
+ZH_TERM, ZH_FREQ = "仁", 3
+_ZH_STOP = ", ".join(f"'{w}'" for w in T.CLASSICAL_STOPWORDS)
+_ZH = rf"""with chapters as (select conv_id as doc_id, string_agg(translate(lower(text), '{_LETTERS}', '{_HANZI}'), chr(10) order by turn, text) as text from conversations group by conv_id),
+parts as (select 'zh' as graph_id, doc_id, string_split_regex(text, '[。！？；\n]+') as l from chapters),
+lists as (select graph_id, doc_id, unnest(range(len(l))) as sent_id, unnest(l) as s from parts),
+sents as (select graph_id, doc_id, sent_id, regexp_extract_all(s, '[\x{{4e00}}-\x{{9fff}}]') as tokens from lists),
+terms as (select 'zh' as graph_id, '{ZH_TERM}' as term),""" + "tok as materialized (" + chain().split("tok as materialized (", 1)[1].replace(f"where freq >= {MIN_FREQ}", f"where freq >= {ZH_FREQ} and token not in ({_ZH_STOP})")
+
+
+@query(f"{_ZH}, {PRUNE} select source, target, round(weight, 9) as weight from pruned")
+def chinese_network(spark, sf_dir):
+    """The classical Chinese path: chapters to one pooled network, with stop words and a low limit."""
+    c = readers.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    docs = c.select(F.col("conv_id").alias("doc_id"), F.translate(F.lower(F.array_join("t.text", "\n")), _LETTERS, _HANZI).alias("text"))
+    s = vocab.sentences(docs, F.lit("zh"), split=T.classical_sentences, tokens=T.classical_tokens)
+    e = network.cooccurrence_network(s, _terms(spark, [("zh", ZH_TERM)]), ZH_FREQ, MAX_NODES, T.CLASSICAL_STOPWORDS)
+    return _rounded(e.select("source", "target", "weight"), "weight")
+
+
+_HITS = f"""select term, doc_id from (select term, doc_id, row_number() over (partition by term order by count(*) desc, doc_id) as k from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from documents) where term in ({", ".join(f"'{t}'" for t in TERMS)}) group by term, doc_id) where k <= 4"""
+_FOUND = f"""select h.term || '|' || g.scope as graph_id, d.doc_id, d.text from ({_HITS}) h join documents d on d.doc_id = h.doc_id, lateral (select cast(h.doc_id as varchar) as scope union all select 'all') g"""
+
+
+@query(f"{chain(_FOUND, "select distinct graph_id, split_part(graph_id, '|', 1) as term from docs")}, {PRUNE} select graph_id, source, target, round(weight, 9) as weight from pruned")
+def search_networks(spark, sf_dir):
+    """Each term's best four hits: a network for each article, and one of the four pooled."""
+    docs = readers.table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = staged(readers.term_search(docs, spark.createDataFrame([(t,) for t in TERMS], "term string"), 4).select("term", "doc_id"), "hits")
+    found = docs.join(hits, "doc_id")
+    scope = lambda c: F.concat("term", F.lit("|"), c)
+    sents = vocab.sentences(found.withColumn("g", vocab.pooled(scope(F.col("doc_id").cast("string")), scope(F.lit("all")))), F.col("g"))
+    terms = hits.select("term", F.explode(F.array(F.col("doc_id").cast("string"), F.lit("all"))).alias("s")).distinct().select(F.concat("term", F.lit("|"), "s").alias("graph_id"), "term")
+    return _rounded(network.cooccurrence_network(sents, terms, MIN_FREQ, MAX_NODES), "weight")
+
+
+@query(f"{chain(_SCOPES, "select distinct graph_id, split_part(graph_id, '|', 1) as term from docs")}, {PRUNE} select graph_id, source, target, round(weight, 9) as weight from pruned")
+def node_link_files(spark, sf_dir):
+    """Networks of all terms and scopes written as node-link files and scanned, with validation."""
+    path = new_path(spark, "node-links")
+    scopes = F.array(*(F.concat(F.lit(f"{t}|"), s) for t in TERMS for s in (F.col("source"), F.lit("all"))))
+    sents = _english(spark, sf_dir, scopes)
+    terms = sents.select("graph_id").distinct().select("graph_id", F.split("graph_id", r"\|")[0].alias("term"))
+    writers.write_node_links(network.cooccurrence_network(sents, terms, MIN_FREQ, MAX_NODES), path)
+    back = readers.node_links(spark, f"{path}/*")
+    graph_id = F.url_decode(F.regexp_extract("path", "graph_id=([^/]+)/", 1))
+    e = back.where("not directed").select(F.url_decode(graph_id).alias("graph_id"), F.explode("edges").alias("e"))
+    return _rounded(e.select("graph_id", "e.*"), "weight")
+
+
+@query(r"""with p as (select conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') as t from conversations)
+select cast(conv_id as int) as ord, 'conv ' || conv_id as title, coalesce(string_agg(t, chr(10) order by turn, t) filter (t <> ''), '') as text from p group by conv_id""")
+def chapter_scan(spark, sf_dir):
+    """Landed chapter responses: conversations as titles with lists of paragraphs."""
+    path = new_path(spark, "chapters")
+    c = readers.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    c.select(F.col("conv_id").cast("int").alias("ord"), F.concat(F.lit("conv "), "conv_id").alias("title"), F.col("t.text").alias("fulltext")).write.json(path)
+    return readers.chapters(spark, path).select("ord", "title", "text")
+
+
+_NOW = "timestamp '2024-01-20 00:00:00'"
+
+
+def _cache(spark, sf_dir):
+    e = readers.table(spark, sf_dir, "events").where(F.col("ts") < F.expr(_NOW).cast("timestamp_ntz"))
+    return e.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("fetched_at"), F.concat("event_type", "props").alias("body"))
+
+
+_CACHE = f"""with cache as (select user_id as key, ts, event_type || props as body from events where ts < {_NOW}),
+fresh as (select key, arg_max(body, ts) as body from cache where ts >= {_NOW} - interval 12 hours group by key),
+stale as (select key, arg_max(body, ts) as body from cache group by key)"""
+
+
+@query(f"{_CACHE.replace('12 hours', '7 days')} select key, body from fresh")
+def cache_fresh(spark, sf_dir):
+    return readers.fresh(_cache(spark, sf_dir), 7, F.expr(_NOW))
+
+
+@query(f"""{_CACHE.replace('12 hours', '1 day')}, keys as (select distinct user_id as key from events)
+select k.key, coalesce(f.body, case when k.key % 2 = 0 then 'fetched ' || k.key end, s.body) as body from keys k left join fresh f on f.key = k.key left join stale s on s.key = k.key""")
+def cache_lookup(spark, sf_dir):
+    """Fresh entries, else what was fetched (even keys here), else stale ones."""
+    keys = readers.table(spark, sf_dir, "events").select(F.col("user_id").alias("key")).distinct()
+    new = keys.where("key % 2 = 0").select("key", F.concat(F.lit("fetched "), "key").alias("body"))
+    return readers.cached_or_fetched(keys, _cache(spark, sf_dir), new, 1, F.expr(_NOW))
+
+
+@query(r"""select url, min(page_id) as body from (select url, regexp_replace(url, '\?[^#]*', '') as key from pages) u join (select page_id, regexp_replace(url, '\?[^#]*', '') as key from pages) p on p.key = u.key group by all""")
+def url_metadata(spark, sf_dir):
+    """Metadata by URL without its query; here of a page the smallest page_id known under that URL."""
+    p = readers.table(spark, sf_dir, "pages")
+    cache = p.groupBy(T.without_query(F.col("url")).alias("key")).agg(F.min("page_id").alias("body")).withColumn("fetched_at", F.expr(_NOW))
+    none = cache.select("key", "body").limit(0)
+    return readers.url_metadata(p.select("url").distinct(), cache, none, 7, F.expr(_NOW))
+
+
+@query(r"""select page_id, unnest(l) as link, cast(unnest(range(len(l))) as int) as ord from (select page_id, list_transform(regexp_extract_all(html, '(?s)<div[^>]*class="ad"[^>]*>(.*?)</div>', 1), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) as l from pages)""")
+def result_links(spark, sf_dir):
+    return readers.table(spark, sf_dir, "pages").select("page_id", F.posexplode(readers.result_links(F.col("html"), "ad")).alias("ord", "link"))
+
+
+#: Dictionary lines made from the parts table: some comments, proper names, classifiers, alternative readings.
+_PART_LINE = """case when p_partkey % 11 = 0 then '# ' || p_name else
+replace(p_name, ' ', '_') || ' ' || p_brand || ' [' || case when p_size % 3 = 0 then 'Ren' else 'ren' end || (p_size % 5 + 1) || ' nu:3] /' || p_type || '/CL:x/' || p_partkey || case when p_size % 2 = 0 then '/also pr. [lu:4 e2]' else '' end || '/' end"""
+
+
+@query(f"""with lines as (select p_partkey as line_no, {_PART_LINE} as value from part),
+e as (select line_no, regexp_extract(value, '{_LINE}', 1) as headword, regexp_extract(value, '{_LINE}', 2) as pinyin_raw, string_split(regexp_extract(value, '{_LINE}', 3), '/') as d from lines where value not like '#%' and regexp_matches(value, '{_LINE}')),
+best as (select * from e qualify row_number() over (partition by headword order by not regexp_matches(pinyin_raw, '^[A-Z]') desc, case when regexp_matches(pinyin_raw, '^[A-Z]') then -line_no else line_no end desc) = 1)
+select headword, translate(substr(pinyin_raw, 1, 1), 'Rr', 'Rr') || list_extract(['ēn', 'én', 'ěn', 'èn', 'en'], cast(substr(pinyin_raw, 4, 1) as int)) || ' nǚ' as pinyin,
+array_to_string(list_filter(d, lambda x: x not like 'CL:%' and x not like 'also pr. %'), '/') as definitions, case when len(list_filter(d, lambda x: x like 'also pr. %')) > 0 then 'lǜ é' else '' end as also from best""")
+def dictionary_file(spark, sf_dir):
+    """A dictionary written as a file of lines, scanned in their order, parsed and deduplicated."""
+    path = new_path(spark, "dictionary")
+    lines = readers.table(spark, sf_dir, "part").orderBy("p_partkey").select(F.expr(_PART_LINE).alias("value"))
+    lines.coalesce(1).write.text(path)
+    d = dictionary.dictionary(readers.dictionary_lines(spark, path))
+    return d.select("headword", "pinyin", F.array_join("definitions", "/").alias("definitions"), F.coalesce(F.array_join("alt_pronunciation", " "), F.lit("")).alias("also"))
+
+
+@query(r"""select page_id, url, case when regexp_matches(url, '^https?://[^/?#]*(example\.com|ththth\.example\.net)[/?#:]') or regexp_matches(url, '^https?://thther\.example\.org[/?#:]') then '@' || regexp_extract(url, '^https?://[^/?#]+/([^/?#]*)', 1) end as handle,
+case when regexp_matches(lower(url), '\.pdf$') then 'pdf' when regexp_extract(url, '\.[A-Za-z0-9]+$') in ('', '.html', '.htm') then 'link' else 'file' end as kind from pages""")
+def url_parts(spark, sf_dir):
+    u = F.col("url")
+    own = F.coalesce(T.handle_at(F.array(u), "example.com", "thther.example.org"), T.handle_at(F.array(F.lit("no url"), u), "ththth.example.net", "none"))
+    return readers.table(spark, sf_dir, "pages").select("page_id", "url", own.alias("handle"), T.file_kind(u).alias("kind"))
+
+
+@query("""select p_partkey, 'h' || least(p_size, 6) as heading, case when p_name = 'red widget' then 'red widget' else p_name || ' – red widget' end as page_title, coalesce(nullif(p_size % 4, 0), 50) as pos,
+cast(p_size as double) / 100 * 640 as x, cast(p_size as double) / 640 * 100 as back, replace(p_type || '=' || p_name || '&' || 'b=' || p_brand, ' ', '+') as query,
+case when p_type in ('SMALL', 'cover') then null else p_type end as kind from (select p_partkey, p_size, p_name, replace(p_brand, '#', '%23') as p_brand, p_type from part)""")
+def display_scalars(spark, sf_dir):
+    size = F.col("p_size")
+    pairs = F.array(F.struct(F.col("p_type").alias("k"), F.col("p_name").alias("v")), F.struct(F.lit("b").alias("k"), F.col("p_brand").alias("v")))
+    return readers.table(spark, sf_dir, "part").select(
+        "p_partkey", T.heading(size).alias("heading"), T.page_title(F.col("p_name"), "red widget").alias("page_title"), T.or_default(size % 4, 50).alias("pos"),
+        T.scaled(size, F.lit(640)).alias("x"), T.unscaled(size.cast("double"), F.lit(640)).alias("back"), T.query_string(pairs).alias("query"),
+        F.when(~F.col("p_type").isin("SMALL", "cover"), F.col("p_type")).alias("kind"),
+    )
+
+
+@query("""select event_id, strftime(ts, '%b %Y') as month, cast(year(ts) as int) as year from events""")
+def month_years(spark, sf_dir):
+    e = readers.table(spark, sf_dir, "events")
+    return e.select("event_id", T.month_year(F.col("ts")).alias("month"), F.year("ts").alias("year"))
+
+
+_TREE = """case when turn % 3 = 0 then '[{"type":"p","children":[{"type":"img","url":"u' || conv_id || '","caption":"c' || turn || '"},{"type":"x","children":[{"type":"img","url":"v"}]}]},{"type":"img","url":5}]' when turn % 3 = 1 then '{"type":"img","url":"w"}' else 'broken' end"""
+
+
+@query("""select conv_id, turn, case when turn % 3 = 0 then 'u' || conv_id || ':c' || turn || ',v:' else '' end as images from conversations""")
+def tree_images(spark, sf_dir):
+    found = F.array_join(F.transform(adapters.images(F.expr(_TREE)), lambda x: F.concat(x["path"], F.lit(":"), F.coalesce(x["alt"], F.lit("")))), ",")
+    return readers.table(spark, sf_dir, "conversations").select("conv_id", "turn", found.alias("images"))
+
+
+@query("""select conv_id, turn, text <> '' as rich, role = 'user' as valid, true as has, role <> '' as truthy, case when role = 'user' then 'asked' else 'start' end as content from conversations""")
+def form_predicates(spark, sf_dir):
+    """Rich text, required fields, keys and contents by status, on each turn of the conversations."""
+    fields = F.create_map(F.lit("role"), F.when(F.col("role") == "user", F.col("role")).otherwise(F.lit("")), F.lit("n"), F.lit("x"))
+    content = F.create_map(F.lit("initial"), F.lit("start"), F.lit("user"), F.lit("asked"))
+    return readers.table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", T.has_rich_text(T.rich_text(F.col("text"))).alias("rich"), T.has_fields(fields, ["role", "n"]).alias("valid"), T.has_props(fields, ["role", "n"]).alias("has"),
+        T.is_truthy(F.col("role")).alias("truthy"), T.form_content(content, F.col("role")).alias("content"),
+    )
+
+
+def _plain_tagger():
+    """A stand-in for a tagger's model: words of odd length are nouns, the others prepositions."""
+    import re
+
+    stop = set(T.ENGLISH_STOPWORDS)
+    return lambda text: [[(w, "NOUN" if len(w) % 2 else "ADP", w in stop, True) for w in re.findall("[A-Za-z]+", s)] for s in re.split(r"[.!?\n]+", text)]
+
+
+@query(f"""with parts as (select conv_id, turn, unnest(string_split_regex(text, '[.!?\n]+')) as s, unnest(range(len(string_split_regex(text, '[.!?\n]+')))) as sent_id from conversations where text <> '')
+select conv_id, turn, cast(sent_id as int) as sent_id, array_to_string(list_transform(list_filter(regexp_extract_all(s, '[A-Za-z]+'), lambda w: len(w) % 2 = 1 and w not in ({_STOP})), lambda w: lower(w)), ' ') as tokens from parts""")
+def tagged_sentences(spark, sf_dir):
+    """Content words by way of the tagger seam, whose model is loaded once in each worker."""
+    t = adapters.tagged(readers.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), _plain_tagger)
+    return t.select("conv_id", "turn", F.posexplode("tagged").alias("sent_id", "s")).select("conv_id", "turn", "sent_id", F.array_join(T.content_tokens(F.col("s")), " ").alias("tokens"))

@@ -1,25 +1,27 @@
 """Whole plans: from documents to pruned term networks, many (term, scope) graphs in one job.
 
-Restricted sentences and edges are read by several joins and persisted (memory, then disk; a lost
-executor's part is made again from the documents)."""
+Restricted sentences are read by several steps, so they are written once. The graph itself is never
+made whole: pruning asks for the edges at a few nodes, and those come straight from the sentences."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
 from ..operators import cooccur, graph, similarity, vocab
+from ..storage import staged
 
 
 def cooccurrence_network(sents: DataFrame, terms: DataFrame, min_freq: int = 22, max_nodes: int = 15, stopwords=()) -> DataFrame:
     """Edges of each graph's pruned PMI network. sents(graph_id, doc_id, sent_id, tokens) are
     unrestricted token lists; terms(graph_id, term) name each graph's centre."""
-    kept = vocab.restricted(sents, vocab.vocabulary(sents, terms, min_freq, stopwords)).persist()
-    return graph.pruned(cooccur.pmi_edges(kept).persist(), terms, max_nodes)
+    kept = staged(vocab.restricted(sents, vocab.vocabulary(sents, terms, min_freq, stopwords)), "kept")
+    return graph.pruned(cooccur.PmiGraph(kept), terms, max_nodes)
 
 
 def similarity_network(sents: DataFrame, terms: DataFrame, min_freq: int = 22, max_nodes: int = 15, threshold: float = 0.7, stopwords=()) -> DataFrame:
     """As cooccurrence_network, with cosine similarity of contexts."""
     words = vocab.vocabulary(sents, terms, min_freq, stopwords)
-    cells = similarity.context_cells(vocab.restricted(sents, words)).persist()
-    edges = similarity.cosine_edges(cells, threshold, words.withColumnRenamed("token", "id"))
-    return graph.pruned(edges.persist(), terms, max_nodes)
+    cells = similarity.context_cells(vocab.restricted(sents, words))
+    if threshold <= 0:
+        return graph.pruned(similarity.cosine_edges(cells, threshold, words.withColumnRenamed("token", "id")), terms, max_nodes)
+    return graph.pruned(similarity.CosineGraph(cells, threshold), terms, max_nodes)

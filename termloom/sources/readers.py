@@ -6,17 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import paragraphs
-from ..model import NODE_LINK
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from ..functions.text import paragraphs, strip, without_query
+from ..model import CHAPTERS, NODE_LINK
+from ..storage import table  # noqa: F401  (part of the sources)
 
 
 def chapters(spark: SparkSession, path: str) -> DataFrame:
     """(ord, title, text) of landed chapter responses {title, fulltext[]}, in the order of ord."""
-    raw = spark.read.schema("ord int, urn string, title string, fulltext array<string>").json(path)
+    raw = spark.read.schema(CHAPTERS).json(path)
     return raw.select("ord", "urn", F.coalesce("title", F.lit("")).alias("title"), paragraphs(F.col("fulltext")).alias("text")).orderBy("ord")
 
 
@@ -49,7 +46,7 @@ def articles(pages: DataFrame, sections: list[str]) -> DataFrame:
 def result_links(html: Column, css_class: str = "result_url") -> Column:
     """Texts of all div elements of a class, stripped, in document order."""
     found = F.regexp_extract_all(html, F.lit(f'(?s)<div[^>]*class="{css_class}"[^>]*>(.*?)</div>'), F.lit(1))
-    return F.transform(found, lambda x: F.trim(x))
+    return F.transform(found, strip)
 
 
 def anchors(html: Column) -> Column:
@@ -71,19 +68,35 @@ def term_search(docs: DataFrame, terms: DataFrame, k: int | None) -> DataFrame:
     return top_hits(ranked, k)
 
 
-def fresh(cache: DataFrame, days: int = 7) -> DataFrame:
-    """The newest body of each key fetched within days, from cache(key, fetched_at, body)."""
-    recent = cache.where(F.col("fetched_at") >= F.current_timestamp() - F.expr(f"interval {days} days"))
-    return recent.groupBy("key").agg(F.max_by("body", "fetched_at").alias("body"))
+def _newest(cache: DataFrame, name: str) -> DataFrame:
+    return cache.groupBy("key").agg(F.max_by("body", F.struct("fetched_at", "body")).alias(name))
+
+
+def fresh(cache: DataFrame, days: int = 7, now: Column | None = None) -> DataFrame:
+    """The newest body of each key fetched within days of now, from cache(key, fetched_at, body);
+    of equally new ones the greatest."""
+    now = F.current_timestamp() if now is None else now
+    return _newest(cache.where(F.col("fetched_at") >= now - F.expr(f"interval {days} days")), "body")
 
 
-def cached_or_fetched(keys: DataFrame, cache: DataFrame, fetched: DataFrame, days: int = 7) -> DataFrame:
+def cached_or_fetched(keys: DataFrame, cache: DataFrame, fetched: DataFrame, days: int = 7, now: Column | None = None) -> DataFrame:
     """Fresh cache, else what was fetched, else the stale cache."""
-    stale = cache.groupBy("key").agg(F.max_by("body", "fetched_at").alias("stale"))
-    out = keys.join(fresh(cache, days), "key", "left").join(fetched.withColumnRenamed("body", "new"), "key", "left").join(stale, "key", "left")
+    out = keys.join(fresh(cache, days, now), "key", "left").join(fetched.withColumnRenamed("body", "new"), "key", "left").join(_newest(cache, "stale"), "key", "left")
     return out.select("key", F.coalesce("body", "new", "stale").alias("body"))
 
 
+def url_metadata(urls: DataFrame, cache: DataFrame, fetched: DataFrame, days: int = 7, now: Column | None = None) -> DataFrame:
+    """(url, body) of urls(url): looked up without their query; what isn't a URL is an error."""
+    key = F.when(F.try_parse_url("url", F.lit("PROTOCOL")).isNotNull(), without_query(F.col("url"))).otherwise(F.raise_error(F.concat(F.lit("not a URL: "), "url")).cast("string"))
+    keyed = urls.withColumn("key", key)
+    return keyed.join(cached_or_fetched(keyed.select("key").distinct(), cache, fetched, days, now), "key").select("url", "body")
+
+
+def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, length, md5) of binary files, such as images."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "length", F.md5("content").alias("md5"))
+
+
 def dictionary_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, value) of one dictionary file, which is small; numbers follow the file."""
     return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line_no", "value"))

@@ -1,10 +1,15 @@
-"""Streaming: pair counts are sums, so they can be kept up to date as sentences arrive."""
+"""Streaming: pair counts are sums, so they are kept up to date as sentences arrive; networks are made
+anew from the sentences gathered so far, as vocabulary thresholds aren't monotone."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 
-from ..operators import cooccur, graph, vocab
+from ..operators import cooccur
+from ..plans import network
+from ..storage import new_path
 
 
 def pair_count_stream(sents: DataFrame) -> DataFrame:
@@ -12,12 +17,29 @@ def pair_count_stream(sents: DataFrame) -> DataFrame:
     return cooccur.pair_counts(sents)
 
 
-def network_per_batch(terms: DataFrame, min_freq: int, max_nodes: int, sink):
-    """A foreachBatch function: vocabulary thresholds aren't monotone, so the network is made anew
-    from the sentences gathered so far, which the batch is appended to by the caller's sink."""
+def final_counts(sents: DataFrame) -> DataFrame:
+    """Pair counts of all that a stream holds now, from tables that its micro-batches write; nothing
+    passes through the driver. State and results are in the shared folder."""
+    spark = sents.sparkSession
+    path, epochs = new_path(spark, "pair-counts"), []
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        epochs.append(epoch)
+
+    run = pair_count_stream(sents).writeStream.outputMode("complete").foreachBatch(write)
+    run = run.option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{path}/epoch={epochs[-1]}")
+
+
+def network_per_batch(terms: DataFrame, min_freq: int, max_nodes: int, gathered: str, sink: Callable[[DataFrame, int], None]):
+    """A foreachBatch function: adds the batch's sentences to the table at the path gathered, and gives
+    sink the network of all of them. A batch that is run again replaces its own part."""
 
     def on_batch(batch: DataFrame, epoch: int) -> None:
-        kept = vocab.restricted(batch, vocab.vocabulary(batch, terms, min_freq))
-        sink(graph.pruned(cooccur.pmi_edges(kept), terms, max_nodes), epoch)
+        batch.write.mode("overwrite").parquet(f"{gathered}/epoch={epoch}")
+        sents = batch.sparkSession.read.parquet(gathered).drop("epoch")
+        sink(network.cooccurrence_network(sents, terms, min_freq, max_nodes), epoch)
 
     return on_batch

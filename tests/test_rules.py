@@ -155,3 +155,60 @@ def test_tagged_tokens_and_layout(spark):
     assert math.dist((at["a"].x, at["a"].y), (at["b"].x, at["b"].y)) > 5
     p = graph.endpoints(edges(spark, [("t", "a", 1.0), ("t", "gone", 1.0)]), layout.layout(edges(spark, [("t", "a", 1.0)]), term(spark, "t")))
     assert p.count() == 1
+
+
+def test_icons(spark):
+    from termloom.operators import icons
+
+    entries = [("site", "https://x.org/a"), ("mail", "mailto:")]
+    rows = spark.createDataFrame([("https://x.org/b",), ("mailto:me@y.org",), ("https://z.org",), ("none",), (None,)], "u string")
+    named = lambda e: spark.createDataFrame(e, "name string, url string")
+    assert [r.icon for r in icons.matched(rows, "u", named(entries)).orderBy(F.col("u").desc_nulls_last()).collect()] == [None, "mail", None, "site", None]
+    for bad in (("other", "http://x.org/"), ("none", "no url")):
+        with pytest.raises(Exception, match="bad or duplicate"):
+            icons.matched(rows, "u", named([*entries, bad])).collect()
+
+
+def test_requests(spark, tmp_path):
+    from termloom.sources import fetch
+
+    for k in range(3):
+        (tmp_path / f"{k}.txt").write_text(f"仁{k}")
+    got = fetch.fetched(spark, [f"file://{tmp_path}/{k}.txt" for k in (2, 0, 1)], pause=False)
+    assert [(r.ord, r.body) for r in got.orderBy("ord").collect()] == [(0, "仁2"), (1, "仁0"), (2, "仁1")]
+    assert fetch.with_query("https://x.org/f?old=1#t", {"q": "a b", "n": "é"}) == "https://x.org/f?q=a+b&n=%C3%A9"
+    assert fetch.exists(f"{tmp_path}/0.txt") and not fetch.exists(f"{tmp_path}/none")
+    import hashlib
+
+    assert [(r.length, r.md5) for r in readers.files(spark, str(tmp_path), "0.txt").collect()] == [(4, hashlib.md5("仁0".encode()).hexdigest())]
+
+
+def test_small_scalars(spark):
+    row = spark.range(1).select(
+        T.without_prefix(F.lit("https://assets.example/12-ab/https://y.org/i.png"), "https://assets.example/[a-f0-9-]*/"), T.without_prefix(F.lit("i.png"), "https://assets.example/"),
+        T.looked_up(F.lit("a"), F.create_map(F.lit("a"), F.lit("A"))), T.looked_up(F.lit("b"), F.create_map(F.lit("a"), F.lit("A"))),
+        T.image_options(F.lit("cover"), F.lit(0), F.lit(None).cast("int")), T.image_options(F.lit("odd"), F.lit(None).cast("int"), F.lit(None).cast("int")),
+        T.has_rich_text(F.lit('{"children":[1,2]}')), T.has_rich_text(F.lit('{"children":[]}')), T.has_rich_text(F.lit("broken")), T.file_kind(F.lit("a/b.pdf")), T.file_kind(F.lit("a/b")), T.file_kind(F.lit("c.zip")),
+    ).first()
+    assert list(row) == ["https://y.org/i.png", "i.png", "A", "b", ("cover", [50, 50]), (None, None), True, False, False, "pdf", "link", "file"]
+
+
+def test_blocked_product_equals_the_plain_one(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(similarity, "BLOCK_CELLS", 30)
+    monkeypatch.setattr(similarity, "STRIP", 4)
+    rnd = random.Random(4)
+    words = [f"w{k}" for k in range(25)]
+    s = sents(spark, [rnd.choices(words, k=rnd.randint(2, 7)) for _ in range(80)])
+    cells = similarity.context_cells(s)
+    m = {}
+    for r in cells.collect():
+        m.setdefault(r.a, {})[r.b] = r.m
+        m.setdefault(r.b, {})[r.a] = r.m
+    norm = {a: math.sqrt(sum(x * x for x in v.values())) for a, v in m.items()}
+    want = {(a, b): sum(x * m[b].get(c, 0) for c, x in m[a].items()) / norm[a] / norm[b] for a in m for b in m if a < b}
+    want = {k: pytest.approx(v) for k, v in want.items() if v >= 0.3}
+    assert want and pairs(similarity.cosine_edges(cells, 0.3)) == want
+    nodes = spark.createDataFrame([("g", words[0])], "graph_id string, id string")
+    assert pairs(similarity.CosineGraph(cells, 0.3).at(nodes)) == {k: v for k, v in want.items() if words[0] in k}
