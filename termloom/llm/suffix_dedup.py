@@ -7,21 +7,25 @@ Which suffixes are sorted. A window of LENGTH bytes is represented by its anchor
 GRAM-byte pieces with the least hash; equal windows have equal pieces at equal offsets, and all windows
 of one anchor lie in one stretch of under 1.5 LENGTH bytes. An anchor whose piece occurs once in the
 corpus (by counts of 64-bit hashes, whose collisions only keep an anchor too many) has no repeated
-window. The suffixes at all other anchors, up to the end of their stretch and followed by what stands
-before the anchor, are sorted. That is about one suffix in fifty bytes of repeated text instead of one
-for each byte, and loses no window.
+window. The suffixes at all other anchors, from the anchor to the end of their stretch, are sorted; what
+stands before the anchor goes with them as a field of its own. That is about one suffix in fifty bytes
+of repeated text instead of one for each byte, and loses no window.
 
 The sort. Each block of documents sorts its suffixes into a run, equal ones once with their number, and
 front-codes it: a suffix is the length of the prefix shared with the one before it, and the rest. Runs
-are exchanged by ranges of leading bytes (splitters from a sample of leading bytes, which decide balance
-only) and merged by a loser tree that keeps each suffix's common prefix with the last output: only
-suffixes with equal common prefix are compared, from its end on. The merge's own prefix lengths
-delimit groups of equal pieces. In a group every window that could be repeated, going by those
-lengths, is looked up by its bytes, so the result is exact. For each suffix the first and the last
-repeated window go back to its block in run order; as windows of one anchor overlap, these two give
-the removed bytes.
+are exchanged by ranges of the first GRAM bytes (splitters from a sample, which decide balance only;
+equal pieces are never parted) and merged by a loser tree that keeps each suffix's common prefix with
+the last output: only suffixes with equal common prefix are compared, from its end on.
 
-Blocks depend on row hashes only and runs on their content, so recomputed parts agree.
+The windows. A window that begins o bytes before its anchor is repeated where another suffix agrees in
+the first LENGTH - o bytes and in the o bytes before the anchor. In merged order suffixes that agree in
+so many bytes stand together, by the merge's own prefix lengths; the bytes before the anchors are
+ranked in the same way. For each o the two ranks are counted together, which is exact. For each
+suffix the first and the last repeated window go back to its block in run order; as windows of one
+anchor overlap, these two give the removed bytes.
+
+Blocks depend on row hashes only and runs on their content, so recomputed parts agree. A block sends
+one row to each range in which it has suffixes.
 
 Defined cases: null text is empty; texts under LENGTH bytes lose nothing; repeated rows (and rows with
 null doc_id) are documents of their own that repeat each other; extra columns are ignored.
@@ -35,19 +39,24 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .common import n_shuffle, table
-from .lm_score import ANSWER, REQUEST, _answer, packed, unpacked
+from .lm_score import packed, unpacked
 
 LENGTH, GRAM = 200, 100
 SPAN = LENGTH - GRAM + 1
-BLOCK_BYTES = 10_000_000
-#: Leading bytes looked at for splitters, at most, whatever the input.
+#: Text bytes of a block, and those that a range of suffixes stands for, at most about.
+BLOCK_BYTES, PART_BYTES = 10_000_000, 8_000_000
+#: Pieces looked at for splitters, at most, whatever the input.
 SPLIT_SAMPLE = 20_000
+#: Anchors whose places are turned into Python numbers at once.
+STRIDE = 100_000
 NONE = 255
-RUN = "block long, part long, n long, head binary, size binary, shared binary, many binary, rest binary"
+COUNTS = "block long, h long, n long"
+RUN = "block long, part long, n long, size binary, shared binary, many binary, rest binary, before binary, back binary"
 MARKS = "block long, part long, n long, first binary, last binary"
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
@@ -98,45 +107,31 @@ def _anchored(docs: pa.Table) -> list[tuple]:
     return [(part, poff, *anchors(part, poff)) for _, _, part, poff in tk.chunks(data, off)]
 
 
-def _count_request(n_buckets: int):
-    def request(docs: pa.Table) -> pa.Table:
-        found = [x[3] for x in _anchored(docs)]
-        h, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-        step = (1 << 64) // n_buckets + 1
-        cut = np.searchsorted(h, np.array([k * step for k in range(n_buckets)], dtype=np.uint64)).tolist() + [len(h)]
-        some = [k for k in range(n_buckets) if cut[k + 1] > cut[k]]
-        own = docs.column("block")[0].as_py()
-        return pa.table(
-            {
-                "block": pa.array([own] * len(some), pa.int64()),
-                "bucket": pa.array(some, pa.int64()),
-                "n": pa.array([cut[k + 1] - cut[k] for k in some], pa.int64()),
-                "hashes": pa.array([packed(np.diff(h[cut[k] : cut[k + 1]], prepend=np.uint64(0))) for k in some], pa.binary()),
-                "counts": pa.array([packed(n[cut[k] : cut[k + 1]]) for k in some], pa.binary()),
-            }
-        )
-
-    return request
+def _count(docs: pa.Table) -> pa.Table:
+    """The hashes of a block's anchors with their numbers."""
+    found = [x[3] for x in _anchored(docs)]
+    h, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+    return pa.table({"block": pa.array(np.full(len(h), docs.column("block")[0].as_py()), pa.int64()), "h": pa.array(tk.to_int64(h)), "n": pa.array(n, pa.int64())})
 
 
-def _suffixes(docs: pa.Table, answers: pa.Table):
-    """The block's pieces, which of their anchors have repeated pieces, and those anchors' suffixes
-    as (bytes from the anchor on and then backwards from it, bytes from the anchor on)."""
+def _suffixes(docs: pa.Table, often: np.ndarray) -> tuple[list[tuple], list[np.ndarray], list[np.ndarray], list[tuple[bytes, bytes]]]:
+    """The block's pieces, which of their anchors are among the hashes often, the number of each such
+    anchor's suffix, and the distinct suffixes: (bytes from the anchor on, bytes before it backwards)."""
     pieces = _anchored(docs)
-    order = np.argsort(answers.column("bucket").to_numpy(), kind="stable")
-    sizes, raw = answers.column("n").to_pylist(), answers.column("counts").to_pylist()
-    known = np.concatenate([np.zeros(0, np.uint64), *(unpacked(raw[k], sizes[k]) for k in order)])
-    unique = np.unique(np.concatenate([x[3] for x in pieces])) if pieces else np.zeros(0, np.uint64)
-    often = unique[known > 1]
-    keys, picked = [], []
+    often = np.sort(often.view(np.uint64))
+    known: dict[tuple[bytes, bytes], int] = {}
+    picked, numbers = [], []
     for part, _, a, h, s, e in pieces:
         at = np.minimum(np.searchsorted(often, h), max(0, len(often) - 1))
         own = np.flatnonzero(often[at] == h) if len(often) else np.zeros(0, np.int64)
         picked.append(own)
-        raw_bytes = part.tobytes()
-        for x, lo, hi in zip(a[own].tolist(), s[own].tolist(), e[own].tolist(), strict=True):
-            keys.append((raw_bytes[x : hi + LENGTH] + raw_bytes[lo:x][::-1], hi + LENGTH - x))
-    return pieces, picked, keys
+        raw, ids = part.tobytes(), np.empty(len(own), np.int64)
+        for k in range(0, len(own), STRIDE):
+            some = own[k : k + STRIDE]
+            rows = zip(a[some].tolist(), s[some].tolist(), e[some].tolist(), strict=True)
+            ids[k : k + STRIDE] = [known.setdefault((raw[x : hi + LENGTH], raw[lo:x][::-1]), len(known)) for x, lo, hi in rows]
+        numbers.append(ids)
+    return pieces, picked, numbers, list(known)
 
 
 def shared_prefix(a: bytes, b: bytes, start: int = 0) -> int:
@@ -149,33 +144,35 @@ def shared_prefix(a: bytes, b: bytes, start: int = 0) -> int:
 
 
 def _run_request(splitters: list[bytes]):
-    def request(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    def request(docs: pa.Table, often: pa.Table) -> pa.Table:
         rows: dict[str, list] = {k.split()[0]: [] for k in RUN.split(", ")}
-        if docs.num_rows:
-            _, _, keys = _suffixes(docs, answers)
-            keys.sort()
+        if docs.num_rows and often.num_rows:
+            _, _, numbers, keys = _suffixes(docs, often.column("h").to_numpy())
+            many = np.bincount(np.concatenate(numbers), minlength=len(keys)) > 1
+            order = sorted(range(len(keys)), key=keys.__getitem__)
             own = docs.column("block")[0].as_py()
             i, part = 0, 0
-            while i < len(keys):
-                while part < len(splitters) and keys[i][0][:8] >= splitters[part]:
+            while i < len(order):
+                while part < len(splitters) and keys[order[i]][0][:GRAM] >= splitters[part]:
                     part += 1
                 limit = splitters[part] if part < len(splitters) else None
-                last, head, size, shared, many, rest = (b"", 0), [], [], [], [], []
-                while i < len(keys) and (limit is None or keys[i][0][:8] < limit):
-                    if keys[i] == last:
-                        many[-1] = 1
-                    else:
-                        lcp = shared_prefix(last[0], keys[i][0])
-                        head.append(keys[i][1])
-                        size.append(len(keys[i][0]))
-                        shared.append(lcp)
-                        many.append(0)
-                        rest.append(keys[i][0][lcp:])
-                        last = keys[i]
-                    i += 1
-                values = (own, part, len(head), packed(np.array(head)), packed(np.array(size)), packed(np.array(shared)), bytes(many), pa.compress(b"".join(rest), codec="zstd", asbytes=True))
+                last, j, shared, rest = b"", i, [], []
+                while j < len(order) and (limit is None or keys[order[j]][0][:GRAM] < limit):
+                    key = keys[order[j]][0]
+                    lcp = shared_prefix(last, key)
+                    shared.append(lcp)
+                    rest.append(key[lcp:])
+                    last = key
+                    j += 1
+                ids = order[i:j]
+                size, before = (np.array([len(keys[x][c]) for x in ids]) for c in (0, 1))
+                values = (
+                    own, part, len(ids), packed(size), packed(np.array(shared)), many[ids].astype(np.uint8).tobytes(), pa.compress(b"".join(rest), codec="zstd", asbytes=True),
+                    packed(before), pa.compress(b"".join(keys[x][1] for x in ids), codec="zstd", asbytes=True),
+                )
                 for k, v in zip(rows, values, strict=True):
                     rows[k].append(v)
+                i = j
         return pa.table({k: pa.array(v, pa.int64() if k in ("block", "part", "n") else pa.binary()) for k, v in rows.items()})
 
     return request
@@ -184,9 +181,9 @@ def _run_request(splitters: list[bytes]):
 class Run:
     """A front-coded run, read in order: the current suffix and its common prefix with the last one."""
 
-    def __init__(self, n: int, head: bytes, size: bytes, shared: bytes, many: bytes, rest: bytes):
-        self.n, self.many = n, many
-        self.head, self.size, self.shared = (unpacked(x, n).tolist() for x in (head, size, shared))
+    def __init__(self, n: int, size: bytes, shared: bytes, rest: bytes):
+        self.n = n
+        self.size, self.shared = (unpacked(x, n).tolist() for x in (size, shared))
         self.rest = pa.decompress(rest, decompressed_size=sum(self.size) - sum(self.shared), codec="zstd", asbytes=True)
         self.at, self.byte, self.key = -1, 0, b""
 
@@ -203,7 +200,7 @@ class Run:
 
 
 def merged(runs: list[Run]):
-    """(run, position, suffix, common prefix with the suffix before) of all runs in order.
+    """(run, common prefix with the suffix before) of all suffixes of the runs in order.
 
     A loser tree over the runs. Each run that is not the winner keeps the common prefix of its
     suffix with the suffix that beat it; as that is also its common prefix with the last output,
@@ -241,7 +238,7 @@ def merged(runs: list[Run]):
     win = level[0]
     while key[win] is not None:
         run = runs[win]
-        yield win, run.at, key[win], lcp[win]
+        yield win, lcp[win]
         own = run.step()
         key[win] = run.key if own >= 0 else None
         lcp[win] = own
@@ -251,53 +248,75 @@ def merged(runs: list[Run]):
             node //= 2
 
 
-def _mark_group(group: list[tuple], first: list, last: list) -> None:
-    """Fill in the first and last repeated window of each suffix of a group of equal pieces.
-    group: (run, position, suffix, bytes from the anchor on, more than one, common prefix)."""
-    classes: list[list] = []
-    for g in group:
-        if classes and g[5] == len(g[2]) == len(classes[-1][0][2]) and g[3] == classes[-1][0][3]:
-            classes[-1].append(g)
-        else:
-            classes.append([g])
-    whole = [len(c) > 1 or c[0][4] for c in classes]
-    ranges: list = [None] * len(classes)
-    if len(classes) > 1:
-        # the longest prefix, from the anchor on, that each class shares with a neighbour
-        right = [min(c[0][5], c[0][3], b[0][3]) for b, c in zip(classes, classes[1:], strict=False)]
-        best = [max(right[k - 1] if k else 0, right[k] if k < len(right) else 0) for k in range(len(classes))]
-        seen: dict[tuple[int, bytes], int] = {}
-        for c, r in zip(classes, best, strict=True):
-            key, n = c[0][2], c[0][3]
-            for o in range(max(LENGTH - n, LENGTH - r), len(key) - n + 1):
-                w = (o, key[: LENGTH - o] + key[n : n + o])
-                seen[w] = seen.get(w, 0) + 1
-        for k, (c, r) in enumerate(zip(classes, best, strict=True)):
-            if not whole[k]:
-                key, n = c[0][2], c[0][3]
-                hit = [o for o in range(max(LENGTH - n, LENGTH - r), len(key) - n + 1) if seen[o, key[: LENGTH - o] + key[n : n + o]] > 1]
-                ranges[k] = (hit[-1], hit[0]) if hit else None
-    for k, c in enumerate(classes):
-        before = len(c[0][2]) - c[0][3]
-        span = (before, LENGTH - c[0][3]) if whole[k] else ranges[k]
-        if span:
-            for g in c:
-                first[g[0]][g[1]], last[g[0]][g[1]] = before - span[0], before - span[1]
+def _ranks(texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common prefix with the row before) of the sorted rows of texts[rows, bytes]."""
+    order = np.argsort(np.ascontiguousarray(texts).view(f"S{texts.shape[1]}").ravel(), kind="stable")
+    t = texts[order]
+    differ = np.ones((len(t), t.shape[1] + 1), bool)
+    differ[1:, :-1] = t[1:] != t[:-1]
+    return order, differ.argmax(axis=1)
+
+
+def repeated_windows(size: np.ndarray, lcp: np.ndarray, many: np.ndarray, backs: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix the most and the fewest bytes before its anchor at which a repeated window of its
+    begins, -1 for none. Suffixes are in order, with their sizes and common prefixes with the one before;
+    backs[suffix, byte] are the bytes before the anchors backwards, before their numbers."""
+    m = len(size)
+    most, least = np.full(m, -1), np.full(m, -1)
+    if not m:
+        return most, least
+    # rows shorter than o bytes take no part in round o, so what pads them doesn't matter
+    order, shared = _ranks(backs)
+    for o in range(backs.shape[1] + 1):
+        own = np.flatnonzero((size >= LENGTH - o) & (before >= o))
+        if not len(own):
+            continue
+        front = np.cumsum(lcp < LENGTH - o)
+        back = np.empty(m, np.int64)
+        back[order] = np.cumsum(shared < o)
+        key = front[own] * (m + 1) + back[own]
+        by = np.argsort(key, kind="stable")
+        ordered = key[by]
+        new = np.ones(len(by), bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        total = np.add.reduceat(1 + many[own][by].astype(np.int64), np.flatnonzero(new))
+        hit = own[by[(total > 1)[np.cumsum(new) - 1]]]
+        most[hit] = o
+        least[hit[least[hit] < 0]] = o
+    return most, least
 
 
 def _merge(part: pa.Table) -> pa.Table:
-    cols = [part.column(k).to_pylist() for k in ("n", "head", "size", "shared", "many", "rest")]
-    runs = [Run(*x) for x in zip(*cols, strict=True)]
-    first, last = ([bytearray([NONE]) * r.n for r in runs] for _ in range(2))
-    group: list[tuple] = []
-    for run, at, key, lcp in merged(runs):
-        if group and lcp < GRAM:
-            _mark_group(group, first, last)
-            group = []
-        group.append((run, at, key, runs[run].head[at], runs[run].many[at], lcp))
-    if group:
-        _mark_group(group, first, last)
-    return pa.table({"block": part.column("block"), "part": part.column("part"), "n": part.column("n"), "first": pa.array(map(bytes, first), pa.binary()), "last": pa.array(map(bytes, last), pa.binary())})
+    get = lambda name: part.column(name).to_pylist()
+    ns = get("n")
+    runs = [Run(*x) for x in zip(ns, get("size"), get("shared"), get("rest"), strict=True)]
+    turn, lcp = [], []
+    for run, shared in merged(runs):
+        turn.append(run)
+        lcp.append(shared)
+    turn, lcp = np.array(turn, np.int64), np.array(lcp, np.int64)
+    # the k-th suffix taken from a run is its k-th: from merged order to the order of the runs' rows
+    to = np.empty(len(turn), np.int64)
+    to[np.argsort(turn, kind="stable")] = np.arange(len(turn))
+    size = np.concatenate([np.array(r.size) for r in runs])
+    del runs
+    befores = [unpacked(x, n).astype(np.int64) for x, n in zip(get("before"), ns, strict=True)]
+    before = np.concatenate(befores)
+    backs = np.zeros((len(before), max(1, int(before.max(initial=0)))), np.uint8)
+    at = 0
+    for raw, b in zip(get("back"), befores, strict=True):
+        text = np.frombuffer(pa.decompress(raw, decompressed_size=int(b.sum()), codec="zstd", asbytes=True), np.uint8)
+        row = np.repeat(np.arange(at, at + len(b)), b)
+        backs[row, np.arange(len(text)) - np.repeat(np.cumsum(b) - b, b)] = text
+        at += len(b)
+    many = np.frombuffer(b"".join(get("many")), np.uint8)
+    most, least = repeated_windows(size[to], lcp, many[to], backs[to], before[to])
+    first, last = (np.full(len(before), NONE, np.uint8) for _ in range(2))
+    hit = most >= 0
+    first[to[hit]], last[to[hit]] = before[to[hit]] - most[hit], before[to[hit]] - least[hit]
+    ends = np.cumsum(ns)
+    cut = lambda x: pa.array([x[e - n : e].tobytes() for e, n in zip(ends, ns, strict=True)], pa.binary())
+    return pa.table({"block": part.column("block"), "part": part.column("part"), "n": part.column("n"), "first": cut(first), "last": cut(last)})
 
 
 def _cut(with_text: bool):
@@ -306,18 +325,16 @@ def _cut(with_text: bool):
         names = [x.split()[0] for x in OUT.split(", ")]
         if not docs.num_rows:
             return pa.table({k: pa.array([], t) for k, t in zip(names, kinds, strict=True)})
-        counts = replies.filter(pc.is_valid(replies.column("counts")))
         marks = replies.filter(pc.is_valid(replies.column("first")))
-        pieces, picked, keys = _suffixes(docs, counts)
-        order = np.argsort(marks.column("bucket").to_numpy(), kind="stable")
-        firsts, lasts = (b"".join(marks.column(c).to_pylist()[k] for k in order) for c in ("first", "last"))
-        index = {x: k for k, x in enumerate(sorted(set(keys)))}
-        flat = np.fromiter((index[x] for x in keys), np.int64, len(keys))
-        lo, hi = (np.frombuffer(x, np.uint8)[flat].astype(np.int64) if len(keys) else np.zeros(0, np.int64) for x in (firsts, lasts))
-        at, out = 0, {k: [] for k in names[1:]}
-        for (part, poff, _, _, s, _), own in zip(pieces, picked, strict=True):
-            f, t = lo[at : at + len(own)], hi[at : at + len(own)]
-            at += len(own)
+        often = replies.filter(pc.is_valid(replies.column("h"))).column("h").to_numpy()
+        pieces, picked, numbers, keys = _suffixes(docs, often)
+        order = np.argsort(marks.column("part").to_numpy(), kind="stable")
+        place = np.empty(len(keys), np.int64)
+        place[sorted(range(len(keys)), key=keys.__getitem__)] = np.arange(len(keys))
+        lows, highs = (np.frombuffer(b"".join(marks.column(c).to_pylist()[k] for k in order), np.uint8).astype(np.int64) for c in ("first", "last"))
+        out: dict[str, list] = {k: [] for k in names[1:]}
+        for (part, poff, _, _, s, _), own, ids in zip(pieces, picked, numbers, strict=True):
+            f, t = (x[place[ids]] if len(ids) else np.zeros(0, np.int64) for x in (lows, highs))
             some = f != NONE
             change = np.zeros(len(part) + 1, np.int64)
             np.add.at(change, s[own][some] + f[some], 1)
@@ -343,20 +360,20 @@ def without_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(n_shuffle(spark), -(-size // BLOCK_BYTES))
-    parts = 2 * n_shuffle(spark)
-    some = docs.where(F.length("text") >= 8).select(F.xxhash64("doc_id", "text").alias("h"), "text")
-    lead = some.select("h", F.substring("text", F.pmod("h", F.length("text") - 7).cast("int") + 1, 8).alias("lead")).orderBy("h").limit(SPLIT_SAMPLE)
-    leads = sorted(r.lead.encode()[:8] for r in lead.select("lead").collect())
+    parts = max(2 * n_shuffle(spark), -(-size // PART_BYTES))
+    some = docs.where(F.length("text") >= GRAM).select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    lead = some.select("h", F.substring("text", F.pmod("h", F.length("text") - GRAM + 1).cast("int") + 1, GRAM).alias("lead")).orderBy("h").limit(SPLIT_SAMPLE)
+    leads = sorted(r.lead.encode()[:GRAM] for r in lead.select("lead").collect())
     splitters = sorted({leads[k * len(leads) // parts] for k in range(1, parts)}) if leads else []
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     # all uses of dealt share one exchange
-    asked = dealt.groupBy("block").applyInArrow(_count_request(2 * blocks), REQUEST)
-    counts = asked.groupBy("bucket").applyInArrow(_answer, ANSWER)
-    runs = dealt.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_run_request(splitters), RUN)
+    asked = dealt.groupBy("block").applyInArrow(_count, COUNTS)
+    often = asked.withColumn("n", F.sum("n").over(W.partitionBy("h"))).where("n > 1").select("block", "h")
+    runs = dealt.groupBy("block").cogroup(often.groupBy("block")).applyInArrow(_run_request(splitters), RUN)
     marks = runs.groupBy("part").applyInArrow(_merge, MARKS)
-    nothing = F.lit(None).cast("binary")
-    replies = counts.select("block", "bucket", "n", "counts", nothing.alias("first"), nothing.alias("last")).unionByName(
-        marks.select("block", F.col("part").alias("bucket"), "n", nothing.alias("counts"), "first", "last")
+    nothing = F.lit(None)
+    replies = often.select("block", "h", nothing.cast("long").alias("part"), nothing.cast("binary").alias("first"), nothing.cast("binary").alias("last")).unionByName(
+        marks.select("block", nothing.cast("long").alias("h"), "part", "first", "last")
     )
     return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_cut(with_text), OUT)
 

@@ -2,6 +2,10 @@ import hashlib
 import random
 from collections import Counter
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+
+from termloom.llm import suffix_dedup as sd
 from termloom.llm.suffix_dedup import LENGTH, op4_suffix_dedup, without_repeats
 
 
@@ -53,3 +57,57 @@ def test_planted_repeats(spark):
 def test_whole_table(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     check(op4_suffix_dedup(spark, sf_dir).collect(), rows)
+
+
+def periodic(rnd):
+    """A few texts of short periods, now and then with a byte put in: suffixes of all lengths tie."""
+    texts = []
+    for _ in range(rnd.randint(2, 5)):
+        unit = "".join(rnd.choice("ab") for _ in range(rnd.randint(1, 6)))
+        t = (unit * 600)[: rnd.randint(150, 600)]
+        for _ in range(rnd.randint(0, 2)):
+            k = rnd.randint(0, len(t))
+            t = t[:k] + rnd.choice("abz") + t[k:]
+        texts.append(t)
+    return texts
+
+
+def in_process(texts, n_blocks=3):
+    """The operator's kernels without a session."""
+    blocks = [pa.table({"doc_id": pa.array(range(k, len(texts), n_blocks), pa.int64()), "text": pa.array(texts[k::n_blocks], pa.string()), "block": pa.array([k] * len(texts[k::n_blocks]), pa.int64())}) for k in range(min(n_blocks, len(texts)))]
+    counts = Counter()
+    for b in blocks:
+        c = sd._count(b)
+        counts.update(dict(zip(c["h"].to_pylist(), c["n"].to_pylist(), strict=True)))
+    known = [pa.table({"h": pa.array([h for h in sd._count(b)["h"].to_pylist() if counts[h] > 1], pa.int64())}) for b in blocks]
+    splitters = [b"abab" * 25, b"b" * 100]
+    runs = pa.concat_tables([sd._run_request(splitters)(b, k) for b, k in zip(blocks, known, strict=True)])
+    parts = {p: runs.filter(pa.compute.equal(runs["part"], p)) for p in set(runs["part"].to_pylist())}
+    marks = pa.concat_tables([sd._merge(t) for t in parts.values()]) if parts else None
+    out = []
+    for k, (b, own) in enumerate(zip(blocks, known, strict=True)):
+        n = len(own)
+        none = lambda t, m: pa.nulls(m, t)
+        replies = pa.table({"h": own["h"], "part": none(pa.int64(), n), "first": none(pa.binary(), n), "last": none(pa.binary(), n)})
+        if marks is not None:
+            m = marks.filter(pa.compute.equal(marks["block"], k))
+            replies = pa.concat_tables([replies, pa.table({"h": none(pa.int64(), len(m)), "part": m["part"], "first": m["first"], "last": m["last"]})])
+        out += sd._cut(False)(b, replies).to_pylist()
+    return [tuple(r[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in sorted(out, key=lambda r: r["doc_id"])]
+
+
+def test_periodic_texts():
+    rnd = random.Random(5)
+    for _ in range(1000):
+        texts = periodic(rnd)
+        assert in_process(texts) == brute(texts), texts
+
+
+def test_short_neighbours_hide_no_partner(spark):
+    rows = [(k, "a" * z + "z" + "a" * (n - z - 1)) for k, (n, z) in enumerate([(244, 137), (210, 152), (232, 155)])]
+    check(without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+
+
+def test_long_run_of_one_byte():
+    got = in_process(["x" * 300_000 + "y", "z" * 150, "q" + "x" * 250])
+    assert [r[:3] for r in got] == [(300_001, 300_000, 1), (150, 0, 0), (251, 250, 1)]
