@@ -1,43 +1,13 @@
-"""Session helpers shared by the corpus operators: table access, the folder that driver and
-executors share, lineage cuts, and connected components."""
+"""Session helpers shared by the corpus operators, and connected components."""
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
-import zipfile
-from collections.abc import Callable
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir, shipped, staged, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the session is
-    local and names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder shared by driver and executors")
-    made = tempfile.mkdtemp(prefix="termloom-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: later readers start from the files, so a
-    lost executor costs a re-read and not the work before it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/termloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["connected_components", "n_shuffle", "shared_dir", "shipped", "staged", "table"]
 
 
 def n_shuffle(spark: SparkSession) -> int:
@@ -69,24 +39,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
-
-
-@functools.cache
-def _zipped() -> str:
-    root = Path(__file__).resolve().parent.parent
-    path = f"{tempfile.mkdtemp(prefix='termloom-')}/{root.name}.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    return path
-
-
-def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """query(spark, ...), after giving this package to the executors: their Python may not have it."""
-
-    @functools.wraps(query)
-    def run(spark: SparkSession, *args) -> DataFrame:
-        spark.sparkContext.addPyFile(_zipped())
-        return query(spark, *args)
-
-    return run
