@@ -6,23 +6,29 @@ fixed grid of CELL wide cells: sketches of parts add up to the sketch of the who
 right to one cell, and the result doesn't depend on how rows were dealt out. Sketches are built
 per language and source from the rows that pass the base rules; a group of under MIN_GROUP rows
 takes its language's merged sketch, a small language the merged sketch of all. A row is rejected
-where a ratio lies beyond the quartiles by FENCE quartile ranges and a slack.
+where a ratio lies beyond a quantile of its group by a multiple of that quantile's distance from the
+median; beside it there is one cell, the sketch's own error, and no constant. Where junk may make up
+several percent of a group (symbols, word length), the quantile is one that junk doesn't reach.
 
 Defined cases: null text is empty and fails the base rules; null language or source is a group of
-its own; repeated rows count each; extra columns are ignored (and kept by the pipeline's stage).
+its own; rows with null doc_id are rows like others; repeated rows and ties count each; extra
+columns are ignored (and kept by the pipeline's stage).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import staged, table
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
-MIN_GROUP, FENCE, CELL = 40, 3, 5
-#: Ratio, slack above the fence, and slack below it (null: no lower limit).
-RATIOS = {"r_symbols": (20, None), "r_upper": (150, None), "r_lines": (400, None), "r_words": (290, None), "r_length": (150, 150)}
+MIN_GROUP, CELL = 100, 5
+#: Ratio, quantile in percent, multiple of its distance from the median that the limit lies beyond it,
+#: and whether there is a lower limit of the same kind.
+RATIOS = {"r_symbols": (75, 5, False), "r_upper": (99, 1, False), "r_lines": (99, 1, False), "r_words": (99, 1, False), "r_length": (90, 5, True)}
+QUANTILES = sorted({50, *(q for q, _, _ in RATIOS.values()), *(100 - q for q, _, two in RATIOS.values() if two)})
 SPACES = r"[\x20\x09-\x0D]+"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -80,15 +86,20 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Quartiles (lower ends of their cells) of sketches given as (keys, ratio, cell, n)."""
-    from pyspark.sql import Window as W
-
+    """QUANTILES (lower ends of their cells) of sketches given as (keys, ratio, cell, n)."""
     by = W.partitionBy(*keys, "ratio")
     s = sketch.withColumn("up_to", F.sum("n").over(by.orderBy("cell").rowsBetween(W.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(by))
-    q = {f"q{p}": F.min(F.when(100 * F.col("up_to") >= p * F.col("all"), F.col("cell"))) * CELL for p in (25, 75)}
+    q = {f"q{p}": F.min(F.when(100 * F.col("up_to") >= p * F.col("all"), F.col("cell"))) * CELL for p in QUANTILES}
     return s.groupBy(*keys, "ratio").agg(*(v.alias(k) for k, v in q.items()))
 
 
+def _limits(name: str) -> dict[str, str]:
+    """Limits of a ratio as expressions over its quantiles, for Spark and SQL."""
+    q, times, two = RATIOS[name]
+    out = {f"hi_{name}": f"q{q} + {times} * (q{q} - q50) + {CELL}"}
+    return out | ({f"lo_{name}": f"q{100 - q} - {times} * (q50 - q{100 - q}) - {CELL}"} if two else {})
+
+
 def thresholds(rows: DataFrame) -> DataFrame:
     """(lang, source, lo_<ratio>, hi_<ratio>): limits of each language and source."""
     good = rows.where(~F.col("base_failed"))
@@ -105,14 +116,10 @@ def thresholds(rows: DataFrame) -> DataFrame:
     enough = lambda c: F.coalesce(F.col(c), F.lit(0)) >= MIN_GROUP
     own = _null_safe(groups.where(enough("n_group")), _quantiles(fine, ["lang", "source"]), ["lang", "source"])
     lang = _null_safe(groups.where(~enough("n_group") & enough("n_lang")), _quantiles(by_lang, ["lang"]), ["lang"])
-    rest = groups.where(~enough("n_group") & ~enough("n_lang")).join(_quantiles(by_all, []), F.lit(True), "left")
+    rest = groups.where(~enough("n_group") & ~enough("n_lang")).withColumn("ratio", F.explode(F.array(*map(F.lit, RATIOS))))
+    rest = rest.join(_quantiles(by_all, []), "ratio", "left")
     every = own.unionByName(lang).unionByName(rest)
-    limits = []
-    for r, (above, below) in RATIOS.items():
-        hi = F.when(F.col("ratio") == r, F.col("q75") + FENCE * (F.col("q75") - F.col("q25")) + above)
-        limits.append(F.max(hi).alias(f"hi_{r}"))
-        if below is not None:
-            limits.append(F.max(F.when(F.col("ratio") == r, F.col("q25") - FENCE * (F.col("q75") - F.col("q25")) - below)).alias(f"lo_{r}"))
+    limits = [F.max(F.when(F.col("ratio") == r, F.expr(e))).alias(name) for r in RATIOS for name, e in _limits(r).items()]
     return every.groupBy("lang", "source").agg(*limits)
 
 
@@ -123,20 +130,16 @@ def _null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, on, "left").drop(*(f"_{k}" for k in keys))
 
 
-def _within() -> Column:
-    ok = F.lit(True)
-    for r, (_, below) in RATIOS.items():
-        ok &= F.coalesce(F.col(r) <= F.col(f"hi_{r}"), F.lit(True))
-        if below is not None:
-            ok &= F.coalesce(F.col(r) >= F.col(f"lo_{r}"), F.lit(True))
-    return ok
+def _within() -> str:
+    """Whether all ratios keep to their limits, for Spark and SQL; without a limit any value does."""
+    return " and ".join(f"coalesce({r} {'<=' if name[:2] == 'hi' else '>='} {name}, true)" for r in RATIOS for name in _limits(r))
 
 
 def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns keep of every row of docs(text, lang, source), the base columns, base_failed and kept."""
     rows = staged(measured(docs).select(*dict.fromkeys([*keep, "lang", "source", *BASE, "base_failed", *RATIOS])), "measured")
     out = _null_safe(rows, thresholds(rows), ["lang", "source"])
-    return out.select(*keep, *BASE, "base_failed", (~F.col("base_failed") & _within()).alias("kept"))
+    return out.select(*keep, *BASE, "base_failed", F.expr(f"not base_failed and {_within()}").alias("kept"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,17 +183,17 @@ with d as (
   select distinct x.lang, x.source, case when coalesce(s.n, 0) >= {MIN_GROUP} then 0 when coalesce(l.n_lang, 0) >= {MIN_GROUP} then 1 else 2 end as lev
   from x left join sizes s on s.lang is not distinct from x.lang and s.source is not distinct from x.source
     left join (select distinct lang, n_lang from sizes) l on l.lang is not distinct from x.lang
-), q as (
-  select g.lang, g.source, ratio, {CELL} * quantile_disc(v // {CELL}, 0.25) as q25, {CELL} * quantile_disc(v // {CELL}, 0.75) as q75
+), h as (
+  select g.lang, g.source, ratio, v // {CELL} as cell, count(*) as n
   from g join long on (lev > 1 or g.lang is not distinct from long.lang) and (lev > 0 or g.source is not distinct from long.source)
   group by all
+), c as (
+  select *, sum(n) over (partition by lang, source, ratio order by cell) as up_to, sum(n) over (partition by lang, source, ratio) as total from h
+), q as (
+  select lang, source, ratio, {", ".join(f"{CELL} * min(cell) filter (100 * up_to >= {p} * total) as q{p}" for p in QUANTILES)} from c group by all
 ), lim as (
-  select lang, source, {", ".join(f"max(q75 + {FENCE} * (q75 - q25) + {a}) filter (ratio = '{r}') as hi_{r}" for r, (a, _) in RATIOS.items())},
-    {", ".join(f"max(q25 - {FENCE} * (q75 - q25) - {b}) filter (ratio = '{r}') as lo_{r}" for r, (_, b) in RATIOS.items() if b is not None)}
-  from q group by all
+  select lang, source, {", ".join(f"max({e}) filter (ratio = '{r}') as {name}" for r in RATIOS for name, e in _limits(r).items())} from q group by all
 )
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and {" and ".join(f"coalesce({r} <= hi_{r}, true)" for r in RATIOS)}
-    and {" and ".join(f"coalesce({r} >= lo_{r}, true)" for r, (_, b) in RATIOS.items() if b is not None)} as kept
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {_within()} as kept
 from x left join lim on lim.lang is not distinct from x.lang and lim.source is not distinct from x.source
 """

@@ -46,3 +46,17 @@ def test_thresholds_follow_the_source(spark):
     rows = [(i, f"{plain} {i}", "en", "prose") for i in range(100)] + [(100 + i, f"{coded} {i}", "en", "code") for i in range(100)] + [(200, coded, "en", "prose")]
     out = {r.doc_id: r.kept for r in judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), ["doc_id"]).collect()}
     assert all(out[i] for i in range(200)) and not out[200]
+
+
+def test_limits_differ_between_groups_and_decide(spark):
+    """Every ratio's limit follows its group: the same repeats, lines and capitals pass in one source only."""
+    word = lambda k: f"{chr(97 + k % 23)}{chr(97 + k % 19)}{chr(97 + k % 17)}{k}".rstrip("0123456789") + chr(97 + k % 7)
+    plain = lambda k: " ".join(word(k * 61 + j) for j in range(60))
+    lined = lambda k: "\n".join(["same line"] * 3 + [plain(k)])
+    upper = lambda k: " ".join(w.upper() if j % 3 == 0 else w for j, w in enumerate(plain(k).split()))
+    rows = [(i, plain(i), "en", "prose") for i in range(300)]
+    rows += [(1000 + i, lined(i), "en", "lists") for i in range(300)] + [(2000 + i, upper(i), "en", "titles") for i in range(300)]
+    rows += [(3000, lined(7), "en", "prose"), (3001, upper(7), "en", "prose"), (3002, upper(9), "en", "lists")]
+    out = {r.doc_id: r.kept for r in judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), ["doc_id"]).collect()}
+    assert sum(out[i] for i in out if i < 3000) > 0.98 * 900
+    assert not any(out[i] for i in (3000, 3001, 3002))
