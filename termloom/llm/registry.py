@@ -19,4 +19,4 @@ QUERIES = {
     }.items()
 }
 
-ORACLE_SQL = {"op1_lm_score": lm_score.OP1_SQL, "op8_quality_rules": quality.OP8_SQL}
+ORACLE_SQL = {"op1_lm_score": lm_score.OP1_SQL, "op3_licences": licences.OP3_SQL, "op8_quality_rules": quality.OP8_SQL}
