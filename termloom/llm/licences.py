@@ -55,7 +55,7 @@ TEMPLATES = [
     ("isc", "provided that the above copyright notice and this permission notice appear in all copies", ["this permission notice appear in all copies"]),
     ("isc", "licensed under the isc license", ["the isc license"]),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
-    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ["redistributions of source code must retain the above copyright notice"]),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions", ["redistributions of source code must retain the above copyright notice"]),
     ("bsd-2", "released under the bsd 2 clause license", ["bsd 2 clause"]),
     ("bsd-3", "released under the bsd 3 clause license", ["bsd 3 clause"]),
     ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["may be used to endorse or promote products derived from this software", "to endorse or promote products derived"]),
