@@ -49,9 +49,9 @@ from .lm_score import packed, unpacked
 LENGTH, GRAM = 200, 100
 SPAN = LENGTH - GRAM + 1
 #: Text bytes of a block, and those that a range of suffixes stands for, at most about.
-BLOCK_BYTES, PART_BYTES = 10_000_000, 8_000_000
-#: Pieces looked at for splitters, at most, whatever the input.
-SPLIT_SAMPLE = 20_000
+BLOCK_BYTES, PART_BYTES = 7_000_000, 8_000_000
+#: Pieces looked at for splitters, about, whatever the input.
+SPLIT_SAMPLE = 4_000
 #: Anchors whose places are turned into Python numbers at once.
 STRIDE = 100_000
 NONE = 255
@@ -358,12 +358,14 @@ def without_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     kept is the remaining bytes."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size, long = docs.agg(F.sum(F.octet_length("text")), F.count_if(F.length("text") >= GRAM)).first()
+    size = size or 0
     blocks = max(n_shuffle(spark), -(-size // BLOCK_BYTES))
     parts = max(2 * n_shuffle(spark), -(-size // PART_BYTES))
-    some = docs.where(F.length("text") >= GRAM).select(F.xxhash64("doc_id", "text").alias("h"), "text")
-    lead = some.select("h", F.substring("text", F.pmod("h", F.length("text") - GRAM + 1).cast("int") + 1, GRAM).alias("lead")).orderBy("h").limit(SPLIT_SAMPLE)
-    leads = sorted(r.lead.encode()[:GRAM] for r in lead.select("lead").collect())
+    h = F.xxhash64("doc_id", "text")
+    some = docs.where((F.length("text") >= GRAM) & (F.pmod(h, F.lit(-(-long // SPLIT_SAMPLE) or 1)) == 0))
+    lead = some.select(F.substring("text", F.pmod(F.xxhash64(h), F.length("text") - GRAM + 1).cast("int") + 1, GRAM).alias("lead"))
+    leads = sorted(r.lead.encode()[:GRAM] for r in lead.collect())
     splitters = sorted({leads[k * len(leads) // parts] for k in range(1, parts)}) if leads else []
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     # all uses of dealt share one exchange
