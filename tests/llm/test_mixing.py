@@ -1,6 +1,8 @@
 from collections import defaultdict
 
-from termloom.llm.mixing import mixed, op5_mixing
+import numpy as np
+
+from termloom.llm.mixing import NEWTON_STEPS, RIDGE, mixed, moments, op5_mixing, rates
 from tests.llm.brute import SPACE_WORD
 
 
@@ -66,3 +68,48 @@ def test_hot_source_null_and_empty(spark):
         taken[src[r.doc_id]] += r.taken
     assert all(abs(taken[s] - want[s]) <= 0.02 * want[s] + 5 for s in ("hot", None))
     assert mixed(df.limit(0)).count() == 0
+
+
+def test_dual_against_a_plain_solver():
+    """Newton's mu equals that of alternating exact updates; sources hold their targets at every mu."""
+    rnd = np.random.default_rng(3)
+    words = rnd.integers(0, 1000, (12, 4)).astype(float)
+    words[:, 0] += 1
+    target = words.sum(axis=1) * rnd.uniform(0.3, 1.9, 12)
+    full = np.zeros(12, bool)
+    full[3], target[3] = True, 2 * words[3].sum()
+    budget, goal = target.sum(), target.sum() * words.sum(axis=0) / words.sum()
+    mu = np.zeros(4)
+    for _ in range(NEWTON_STEPS):
+        taken, hessian = moments(words, target, full, mu)
+        gradient = taken - goal + RIDGE * budget * mu
+        mu = mu - np.clip(np.linalg.solve(hessian + RIDGE * budget * np.eye(4), gradient), -1, 1)
+    plain = np.zeros(4)
+    for _ in range(20_000):
+        taken = (words * rates(words, target, full, plain)).sum(axis=0)
+        plain -= 0.2 * (taken - goal + RIDGE * budget * plain) / budget
+    assert np.abs(mu - plain).max() < 1e-6 and np.abs(mu).max() > 0.01
+    r = rates(words, target, full, mu)
+    assert np.allclose((words * r).sum(axis=1), target) and r.max() <= 2
+    off = lambda m: np.abs((words * rates(words, target, full, m)).sum(axis=0) - goal).sum()
+    assert off(mu) < 0.5 * off(np.zeros(4))
+
+
+def test_languages_and_missing_column(spark):
+    rows = [(i, "w " * (1 + i % 9), f"s{i % 4}", ["en", "de", None][i % 3 if i % 4 else 0]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    out, plain = mixed(df).collect(), mixed(df.drop("lang")).collect()
+    lang = {d: x for d, _, _, x in rows}
+    size, share = defaultdict(int), {True: defaultdict(int), False: defaultdict(int)}
+    for d, t, *_ in rows:
+        size[lang[d]] += len(t.split())
+    for with_lang, res in ((True, out), (False, plain)):
+        for r in res:
+            share[with_lang][lang[r.doc_id]] += r.taken
+    off = {k: sum(abs(v[x] / sum(v.values()) - size[x] / sum(size.values())) for x in size) for k, v in share.items()}
+    assert off[True] < 0.6 * off[False]
+    for res in (out, plain):
+        taken, target = defaultdict(int), {}
+        for r in res:
+            taken[r.source_size, r.target] += r.taken
+        assert all(abs(v - t) <= 0.02 * t for (_, t), v in taken.items())
