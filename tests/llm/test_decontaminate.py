@@ -1,7 +1,9 @@
 import random
 import re
 
-from termloom.llm.decontaminate import leaks, op7_decontaminate
+import numpy as np
+
+from termloom.llm.decontaminate import SAMPLES, WALKS, Index, cgk_reads, leaks, op7_decontaminate, shares_key, without_leaks
 from tests.llm.brute import lower_ascii
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -101,3 +103,40 @@ def test_every_leak_at_the_full_rate(spark):
     got = found(leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
     assert {(d, d) for d, _ in docs} <= set(got)
     assert got == brute(docs, items)
+
+
+def test_unchanged_items_of_any_size_share_a_key():
+    zero = np.zeros(1, np.int64)
+    for n in range(1, 60):
+        item = np.random.default_rng(n).integers(1, 1 << 60, n).astype(np.uint64)
+        for walk in range(WALKS):
+            reads = cgk_reads(item, zero, zero + n, n, walk)
+            assert shares_key(reads[:, 0], reads, n, walk).all() or n < 4
+    for word in range(1, 500):
+        index = Index([(1, f"word{word}")], 0.2)
+        assert any(shares_key(r, r[:, None], 1, walk).all() for walk, r in enumerate(index.reads[0]))
+
+
+def test_recall_of_one_walk_at_the_full_rate():
+    rnd = np.random.default_rng(2)
+    for n in (16, 50, 100, 200):
+        missed = 0
+        for _ in range(60):
+            item = rnd.integers(1, 1 << 60, n).astype(np.uint64)
+            own = list(item)
+            for _ in range(n // 5):
+                k, op = int(rnd.integers(len(own))), int(rnd.integers(3))
+                own[k : k + 1] = [] if op == 0 else [own[k], rnd.integers(1, 1 << 60)] if op == 1 else [rnd.integers(1, 1 << 60)]
+            text = np.concatenate([np.array(x, np.uint64) for x in (rnd.integers(1, 1 << 60, n), own, rnd.integers(1, 1 << 60, n))])
+            start = np.arange(n - n // 5, n + n // 5 + 1)
+            zero = np.zeros(1, np.int64)
+            missed += not shares_key(cgk_reads(item, zero, zero + n, n, 0)[:, 0], cgk_reads(text, start, start + n, n, 0), n, 0).any()
+        assert missed <= 0.15 * 60, (n, missed, SAMPLES)
+
+
+def test_rows_are_judged_and_kept_whole(spark):
+    item = "alpha beta gamma delta epsilon"
+    rows = [(1, item, "a"), (1, "clean text", "b"), (None, f"x {item} y", "c"), (None, "also clean", "d"), (2, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = without_leaks(d, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, [r for r in d.collect() if r.lang in ("b", "d", None)]))
