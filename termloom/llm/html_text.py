@@ -3,7 +3,8 @@
 A page is taken apart into its leaf blocks in page order: the text between block-level tags, with the
 path of open tags and their class and id words. A bidirectional LSTM in numpy reads, for the whole
 page, each block's hashed tag path, hashed words and a few lengths, and labels it as main text or
-not. Comments, scripts, styles and what stands in the head are markup and never become blocks.
+not. Comments, scripts, styles, frames, drawings and what stands in the head are markup and never become
+blocks; the text inside formulas, objects and canvases belongs to the block around them.
 
 The labeller is trained from a fixed seed, on the driver, on PAGES generated block sequences: page
 layouts put together from the usual sectioning tags and class names, with random words, so it learns
@@ -44,10 +45,13 @@ VOID_TAGS = set("area base br col embed hr img input link meta param source trac
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 CLOSES_P = BLOCK_TAGS - {"body", "html", "button", "label", "option", "select", "textarea"}
 
+#: A value is quoted only where a quote follows the equals sign, and ends at the next one if what
+#: follows there can follow a value; so an unbalanced quote costs its own tag and no text. A tag that is
+#: never closed ends where the next one begins.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|canvas|math|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
+    r"|<(?P<raw>script|style|noscript|template|svg|iframe|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:=\s*+\"[^\"]*+\"(?=[\s/>])|=\s*+'[^']*+'(?=[\s/>])|[^<>])*+)(?:>|(?=<)|\Z)"
     r"|<[!?][^>]*>",
     re.S | re.I,
 )
@@ -61,18 +65,48 @@ def _slot(name: str) -> int:
 
 
 @functools.lru_cache(100_000)
-def _marks(tag: str, attrs: str) -> tuple[int, ...]:
-    """Slots of a tag and of the words of its class, id and role."""
+def _marks(tag: str, attrs: str) -> tuple[int, int]:
+    """(set of the slots of a tag and of the words of its class, id and role, as bits; their number)."""
     words = [tag]
     if "=" in attrs:
         for m in _NAMES.finditer(attrs):
             words += ["." + w.lower() for w in _PART.findall(m[1] or m[2] or m[3] or "")]
-    return tuple(_slot(w) for w in words)
-
-
-def blocks(page: str) -> list[tuple[tuple[int, ...], str, int]]:
-    """(path slots, text, characters inside links) of the page's leaf blocks in order."""
-    out, stack, buf, at, links, in_head = [], [], [], 0, 0, False
+    bits = 0
+    for w in words:
+        bits |= 1 << _slot(w)
+    return bits, len(words)
+
+
+class _Stack:
+    """Open tags, with the slots of the whole path in every entry, so that a block copies nothing."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.paths: list[tuple[int, int]] = [(0, 0)]
+        self.where: dict[str, list[int]] = {}
+
+    def push(self, tag: str, attrs: str) -> None:
+        bits, n = _marks(tag, attrs)
+        above, count = self.paths[-1]
+        self.where.setdefault(tag, []).append(len(self.tags))
+        self.tags.append(tag)
+        self.paths.append((above | bits, count + n))
+
+    def cut(self, k: int) -> None:
+        """Close the entries from k on."""
+        while len(self.tags) > k:
+            self.where[self.tags.pop()].pop()
+            self.paths.pop()
+
+    def close(self, tag: str) -> None:
+        if self.where.get(tag):
+            self.cut(self.where[tag][-1])
+
+
+def blocks(page: str) -> list[tuple[tuple[int, int], str, int]]:
+    """(path, text, characters inside links) of the page's leaf blocks in order; a path is the bits of its
+    slots and their number. Time is linear in the page, however deep its tags are."""
+    out, stack, buf, at, links, in_head = [], _Stack(), [], 0, 0, False
     open_links = 0
 
     def flush() -> None:
@@ -80,7 +114,7 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str, int]]:
         if buf:
             text = " ".join(entities.unescape("".join(buf)).split())
             if text and not in_head:
-                out.append((tuple(s for _, marks in stack for s in marks), text, min(links, len(text))))
+                out.append((stack.paths[-1], text, min(links, len(text))))
             buf.clear()
         links = 0
 
@@ -108,21 +142,17 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str, int]]:
         elif tag in BLOCK_TAGS:
             flush()
             if m["end"]:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                stack.close(tag)
             else:
                 shut = SELF_CLOSING.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in shut:
-                        del stack[k:]
-                        break
-                    if stack[k][0] not in ("p",):
-                        if not (tag in ("td", "th") and stack[k][0] in ("td", "th")):
-                            break
+                k = len(stack.tags) - 1
+                # open paragraphs, and cells beside a cell, don't hide what a new tag closes
+                while k >= 0 and stack.tags[k] not in shut and (stack.tags[k] == "p" or (tag in ("td", "th") and stack.tags[k] in ("td", "th"))):
+                    k -= 1
+                if k >= 0 and stack.tags[k] in shut:
+                    stack.cut(k)
                 if tag not in VOID_TAGS:
-                    stack.append((tag, _marks(tag, m["attrs"])))
+                    stack.push(tag, m["attrs"])
         elif tag == "a":
             open_links = 0 if m["end"] else 1
     if at < len(page):
@@ -131,14 +161,14 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str, int]]:
     return out
 
 
-def features(pages: list[list[tuple[tuple[int, ...], str, int]]]) -> np.ndarray:
+def features(pages: list[list[tuple[tuple[int, int], str, int]]]) -> np.ndarray:
     """One row a block of all pages."""
     flat = [b for p in pages for b in p]
     x = np.zeros((len(flat), DIM), np.float32)
     if not flat:
         return x
-    row = np.repeat(np.arange(len(flat)), [len(b[0]) for b in flat])
-    x[row, np.fromiter((s for b in flat for s in b[0]), np.int64, len(row))] = 1
+    raw = np.frombuffer(b"".join(b[0][0].to_bytes(PATH_DIM // 8, "little") for b in flat), np.uint8)
+    x[:, :PATH_DIM] = np.unpackbits(raw.reshape(len(flat), -1), axis=1, bitorder="little")
     data, off = tk.text_buffer(pa.array([b[1] for b in flat], pa.large_string()))
     for i, j, part, poff in tk.chunks(data, off):
         s, e, woff = tk.word_spans(part, poff, tk.SPACE)
@@ -150,7 +180,7 @@ def features(pages: list[list[tuple[tuple[int, ...], str, int]]]) -> np.ndarray:
     chars = np.array([len(b[1]) for b in flat], np.float32)
     x[:, -2] = np.array([b[2] for b in flat], np.float32) / chars
     x[:, -3] = np.log1p(chars) / 7
-    x[:, -4] = [min(len(b[0]), 20) / 20 for b in flat]
+    x[:, -4] = [min(b[0][1], 20) / 20 for b in flat]
     size = np.array([len(p) for p in pages])
     first = np.repeat(np.cumsum(size) - size, size)
     x[:, -5] = (np.arange(len(flat)) - first) / np.repeat(np.maximum(size, 1), size)
@@ -278,12 +308,12 @@ NOISE_AFTER = [["footer"], ["footer", "p"], ["footer", "ul", "li"], ["aside", "p
 NOISE_INSIDE = [["div.ad"], ["aside", "p"], ["div.related", "ul", "li"], ["div.share"], ["section.comments", "p"], ["div.comments", "p"], ["div.comment", "p"], ["form", "p"], ["div.advert"], ["aside.sidebar", "p"], ["div.newsletter", "p"], ["nav", "ul", "li"], ["header", "nav", "a"], ["footer", "p"], ["div.promo"], ["div.notice"]]
 
 
-def _path(steps: list[str]) -> tuple[int, ...]:
-    out: list[int] = []
+def _path(steps: list[str]) -> tuple[int, int]:
+    stack = _Stack()
     for s in steps:
         tag, _, names = s.partition(".")
-        out += _marks(tag, f'class="{names}"' if names else "")
-    return tuple(out)
+        stack.push(tag, f'class="{names}"' if names else "")
+    return stack.paths[-1]
 
 
 def generated(n: int, seed: int = 1) -> list[tuple[list, np.ndarray]]:
