@@ -13,11 +13,15 @@ copies stays whole.
 Lines travel as 64-bit hashes with two bytes a word, deduplicated within documents. The forms of one
 leaf (equal word count, first words equal) meet in one task, never its lines. Forms that agree in
 SIMILAR percent have one of k + 1 bands of positions in common, k being the words that may differ,
-so only forms that share a band are compared, and no link is lost to that.
+so only forms that share a band are compared, and no link is lost to that. Two bytes a word may take
+different words for equal ones, but never lose a link; what they link is linked again by the words' full
+64-bit hashes, read from the first document of each such form.
 
 Defined cases: null text is empty and stays null; lines without words are never dropped; rows with
 null doc_id neither count nor lose lines; rows that repeat a doc_id are one document and lose the
-same lines; extra columns are kept, but for those named n_lines or n_dropped, which are replaced.
+same lines; of several documents that could keep a line the smallest doc_id does, and equally frequent
+forms are treated alike; extra columns are kept, but for those named n_lines or n_dropped, which are
+replaced.
 """
 
 from __future__ import annotations
@@ -40,6 +44,7 @@ SMALL = 64
 MIN_SIMILAR, SIMILAR = 6, 80
 _FIELD = np.uint64(0xD1B54A32D192ED03)
 LINES = "doc_id long, h long, leaf long, n long, sig binary"
+TEMPLATES = "leaf long, n long, h long, template long"
 
 
 def line_forms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -69,30 +74,41 @@ def line_forms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     return loff, first, form, leaf, n, w, woff
 
 
+def _signed(batch: pa.RecordBatch, kind: type) -> Iterator[pa.RecordBatch]:
+    """The distinct lines of each text, with the leading bytes of their words' hashes as kind has them."""
+    width = np.dtype(kind).itemsize
+    data, off = tk.text_buffer(batch.column(1))
+    for i, _, part, poff in tk.chunks(data, off):
+        _, first, form, leaf, n, w, woff = line_forms(part, poff)
+        text = np.repeat(np.arange(len(poff) - 1), np.diff(first))
+        at = np.flatnonzero(n > 0)
+        order = at[np.lexsort((form[at], text[at]))]
+        new = np.ones(len(order), bool)
+        new[1:] = (form[order[1:]] != form[order[:-1]]) | (text[order[1:]] != text[order[:-1]])
+        at = order[new]
+        take = np.repeat(woff[at] - np.cumsum(n[at]) + n[at], n[at]) + np.arange(n[at].sum())
+        sig = (w[take] >> np.uint64(64 - 8 * width)).astype(kind)
+        soff = np.concatenate([[0], width * np.cumsum(n[at])]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0).take(pa.array(i + text[at])),
+                pa.array(tk.to_int64(form[at])),
+                pa.array(tk.to_int64(leaf[at])),
+                pa.array(n[at].astype(np.int64)),
+                pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(soff.tobytes()), pa.py_buffer(sig.tobytes())]),
+            ],
+            names=["doc_id", "h", "leaf", "n", "sig"],
+        )
+
+
 def _lines(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
-        data, off = tk.text_buffer(batch.column(1))
-        for i, _, part, poff in tk.chunks(data, off):
-            _, first, form, leaf, n, w, woff = line_forms(part, poff)
-            text = np.repeat(np.arange(len(poff) - 1), np.diff(first))
-            at = np.flatnonzero(n > 0)
-            order = at[np.lexsort((form[at], text[at]))]
-            new = np.ones(len(order), bool)
-            new[1:] = (form[order[1:]] != form[order[:-1]]) | (text[order[1:]] != text[order[:-1]])
-            at = order[new]
-            take = np.repeat(woff[at] - np.cumsum(n[at]) + n[at], n[at]) + np.arange(n[at].sum())
-            sig = (w[take] >> np.uint64(48)).astype(np.uint16)
-            soff = np.concatenate([[0], 2 * np.cumsum(n[at])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(i + text[at])),
-                    pa.array(tk.to_int64(form[at])),
-                    pa.array(tk.to_int64(leaf[at])),
-                    pa.array(n[at].astype(np.int64)),
-                    pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(soff.tobytes()), pa.py_buffer(sig.tobytes())]),
-                ],
-                names=["doc_id", "h", "leaf", "n", "sig"],
-            )
+        yield from _signed(batch, np.uint16)
+
+
+def _whole_lines(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        yield from _signed(batch, np.uint64)
 
 
 def components(sig: np.ndarray) -> np.ndarray:
@@ -103,7 +119,7 @@ def components(sig: np.ndarray) -> np.ndarray:
     # few forms are compared all with all, as if they shared one band
     bands = [np.arange(LEAD)] if m <= SMALL else np.array_split(np.arange(LEAD, n), n - need + 1)
     for band in bands:
-        key = np.ascontiguousarray(sig[:, band]).view(f"V{2 * len(band)}").ravel()
+        key = np.ascontiguousarray(sig[:, band]).view(f"V{sig.itemsize * len(band)}").ravel()
         _, of = np.unique(key, return_inverse=True)
         order = np.argsort(of, kind="stable")
         for todo in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
@@ -123,15 +139,18 @@ def components(sig: np.ndarray) -> np.ndarray:
     return label
 
 
-def _templates(forms: pa.Table) -> pa.Table:
-    """(leaf, n, h, template) of the forms of one leaf that are linked to others."""
-    forms = forms.sort_by("h")
-    n = forms["n"][0].as_py()
-    h = forms["h"].to_numpy()
-    label = components(np.frombuffer(b"".join(forms["sig"].to_pylist()), np.uint16).reshape(len(h), n))
-    many = np.bincount(label, minlength=len(h))[label] > 1
-    own = forms.filter(pa.array(many))
-    return pa.table({"leaf": own["leaf"], "n": own["n"], "h": pa.array(h[many]), "template": pa.array(h[label[many]])})
+def _templates(kind: type):
+    def templates(forms: pa.Table) -> pa.Table:
+        """(leaf, n, h, template) of the forms of one leaf that are linked to others."""
+        forms = forms.sort_by("h")
+        n = forms["n"][0].as_py()
+        h = forms["h"].to_numpy()
+        label = components(np.frombuffer(b"".join(forms["sig"].to_pylist()), kind).reshape(len(h), n))
+        many = np.bincount(label, minlength=len(h))[label] > 1
+        own = forms.filter(pa.array(many))
+        return pa.table({"leaf": own["leaf"], "n": own["n"], "h": pa.array(h[many]), "template": pa.array(h[label[many]])})
+
+    return templates
 
 
 def _enough() -> Column:
@@ -147,7 +166,12 @@ def recurring(docs: DataFrame) -> DataFrame:
     leaves = forms.where(F.col("n") >= MIN_SIMILAR).groupBy("leaf", "n").agg(F.count("*").alias("n_forms"), F.sum("n_docs").alias("all_docs"))
     leaves = leaves.where((F.col("n_forms") > 1) & (F.col("all_docs") >= _enough())).select("leaf")
     shared = forms.where(F.col("n") >= MIN_SIMILAR).join(leaves, "leaf").select("leaf", "h", "n", "sig")
-    near = staged(shared.groupBy("leaf").applyInArrow(_templates, "leaf long, n long, h long, template long"), "near")
+    may = staged(shared.groupBy("leaf").applyInArrow(_templates(np.uint16), TEMPLATES), "may")
+    # the whole words of those forms, from the first document of each
+    reps = may.select("h", "leaf").join(forms.select("h", "leaf", F.col("first_doc").alias("doc_id")), ["h", "leaf"])
+    some = ids.join(reps.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    whole = some.mapInArrow(_whole_lines, LINES).join(staged(reps, "reps"), ["doc_id", "h", "leaf"], "left_semi").dropDuplicates(["leaf", "h"])
+    near = staged(whole.groupBy("leaf").applyInArrow(_templates(np.uint64), TEMPLATES), "near")
     templates = lines.join(near.drop("n"), ["leaf", "h"]).groupBy("leaf", "template").agg(F.count_distinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
     by_template = near.join(templates, ["leaf", "template"]).where(F.col("n_docs") >= _enough()).select("h", "first_doc")
     drop = forms.where(F.col("n_docs") >= _enough()).select("h", "first_doc").unionByName(by_template).groupBy("h").agg(F.min("first_doc").alias("first_doc"))

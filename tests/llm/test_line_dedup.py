@@ -3,7 +3,9 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
+from termloom.llm import line_dedup
 from termloom.llm.line_dedup import components, op9_line_dedup, without_recurring
 from tests.llm.brute import SPACE_WORD
 
@@ -25,15 +27,16 @@ def brute(rows, min_docs=3):
         if len(f) >= 6:
             leaves[len(f), f[:3]].append(f)
     for fs in leaves.values():
-        if len(fs) > 1:
-            most = max(len(docs_of[f]) for f in fs)
-            tops = [f for f in fs if len(docs_of[f]) == most]
-            if len(tops) > 1:
-                continue  # the template depends on hashes; such ties are left out of the test data
-            near = [f for f in fs if 100 * sum(x == y for x, y in zip(f, tops[0])) >= 80 * len(f)]
-            ds = set().union(*(docs_of[f] for f in near))
-            if len(ds) >= min_docs:
-                for f in near:
+        todo = sorted(fs)
+        while todo:
+            group, todo = [todo[0]], todo[1:]
+            for f in group:
+                near = [g for g in todo if 100 * sum(x == y for x, y in zip(f, g)) >= 80 * len(f)]
+                group += near
+                todo = [g for g in todo if g not in near]
+            ds = set().union(*(docs_of[f] for f in group))
+            if len(ds) >= min_docs and len(group) > 1:
+                for f in group:
                     first[f] = min(first.get(f, min(ds)), min(ds))
     return {d: None if t is None else "\n".join(x for x in t.split("\n") if not (form(x) in first and d > first[form(x)])) for d, t in rows}
 
@@ -112,3 +115,18 @@ def test_long_lines_recur_from_two_documents(spark):
     rows = [(1, line(50)), (2, f"x\n{line(50)}"), (3, line(49)), (4, f"y\n{line(49)}"), (5, line(60)), (6, f"z\n{' '.join(varied)}")]
     out = {r.doc_id: r.text for r in without_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == dict(rows) | {2: "x", 6: "z"}
+
+
+def test_equal_leading_bytes_are_not_equal_words(spark, monkeypatch):
+    """Two bytes a word only choose candidates: here they are made to agree for all words."""
+    monkeypatch.setattr(line_dedup, "_lines", lambda it: _blurred(it))
+    rows = [(d, f"we say {a} {b} to all of {c} now") for d, (a, b, c) in enumerate([("old", "things", "you"), ("new", "words", "them"), ("odd", "news", "us"), ("big", "tales", "me")])]
+    rows += [(10 + d, f"we give a lot of very good {w} for free to everyone") for d, w in enumerate(("books", "films", "songs"))]
+    out = {r.doc_id: r.text for r in without_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == dict(rows) | {11: "", 12: ""}
+
+
+def _blurred(it):
+    for batch in it:
+        for b in line_dedup._signed(batch, np.uint16):
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([bytes(len(x)) for x in b.column(4).to_pylist()], pa.binary())], names=b.schema.names)
