@@ -18,7 +18,8 @@ bucket's centre, and no bucket is capped.
 With 32 bands of 4 rows a pair at similarity 0.75 shares a bucket with probability 1 - 6e-6.
 
 Defined cases: null text is empty; rows without doc_id get a null component_id and are kept;
-rows that repeat a doc_id are one document for linking; extra columns are ignored.
+rows that repeat a doc_id are one document, whose set for linking is the one of the row with the most
+shingles (ties: the least fingerprint); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -100,22 +101,28 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
+def _fingerprints(h: np.ndarray, soff: np.ndarray) -> list[pa.Array]:
+    """Two 64-bit hashes of each set."""
+    out = []
+    for x in (h, h ^ tk._M2):
+        c = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(tk.mix(x), out=c[1:])
+        out.append(pa.array(tk.to_int64(tk.mix(c[soff[1:]] - c[soff[:-1]]))))
+    return out
+
+
 def _signed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         data, off = tk.text_buffer(batch.column(1))
         for i, j, part, poff in tk.chunks(data, off, 1 << 20):
             h, soff = shingle_sets(part, poff)
             n = np.diff(soff)
-            c1, c2 = np.zeros(len(h) + 1, np.uint64), np.zeros(len(h) + 1, np.uint64)
-            np.cumsum(tk.mix(h), out=c1[1:])
-            np.cumsum(tk.mix(h ^ tk._M2), out=c2[1:])
             keys = band_keys(superminhash(h, soff, BANDS * ROWS), BANDS, ROWS)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(i, j - i),
                     pa.array(n.astype(np.int64)),
-                    pa.array(tk.to_int64(tk.mix(c1[soff[1:]] - c1[soff[:-1]]))),
-                    pa.array(tk.to_int64(tk.mix(c2[soff[1:]] - c2[soff[:-1]]))),
+                    *_fingerprints(h, soff),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(tk.to_int64(keys).ravel())),
                 ],
                 names=["doc_id", "n_shingles", "f1", "f2", "keys"],
@@ -128,8 +135,8 @@ def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j, part, poff in tk.chunks(data, off):
             h, soff = shingle_sets(part, poff)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(soff.astype(np.int32)), pa.array(tk.to_int64(h)))],
-                names=["node", "set"],
+                [batch.column(0).slice(i, j - i), *_fingerprints(h, soff), pa.ListArray.from_arrays(pa.array(soff.astype(np.int32)), pa.array(tk.to_int64(h)))],
+                names=["node", "f1", "f2", "set"],
             )
 
 
@@ -137,13 +144,15 @@ def _similar(shared: Column, na: Column, nb: Column, percent: int) -> Column:
     return 100 * shared >= percent * (na + nb - shared)
 
 
-def _sets_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, set): the full sets of all members of pairs(a, b)."""
-    nodes = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+def _sets_of(pairs: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, set): the full sets of all members of pairs(a, b), which stand for sets(node, f1, f2)."""
+    nodes = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "f1", "f2"), "node"), "wanted")
     if nodes.count() <= ID_BROADCAST:
         nodes = F.broadcast(nodes)
     need = texts.join(nodes, texts.doc_id == nodes.node, "left_semi").select("doc_id", "text")
-    return staged(need.mapInArrow(_sets, "node long, set array<long>").dropDuplicates(["node"]), "sets")
+    made = need.mapInArrow(_sets, "node long, f1 long, f2 long, set array<long>")
+    # a repeated doc_id may have rows of other sets
+    return staged(made.join(nodes, ["node", "f1", "f2"], "left_semi").select("node", "set").dropDuplicates(["node"]), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -198,11 +207,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = staged(docs.mapInArrow(_signed, "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>"), "signed")
-    # one node for each distinct set; its number is the smallest doc_id that has the set
-    sets = staged(
-        signed.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node")),
-        "nodes",
-    )
+    # a document's set; then one node for each distinct set, whose number is the smallest doc_id that has it
+    own = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct((-F.col("n_shingles")).alias("less"), "f1", "f2")).alias("s"))
+    own = staged(own.select("doc_id", (-F.col("s.less")).alias("n_shingles"), "s.f1", "s.f2"), "own")
+    sets = staged(own.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node")), "nodes")
     keys = signed.select("doc_id", "n_shingles", "f1", "f2", "keys").join(
         sets.withColumnRenamed("node", "doc_id"), ["doc_id", "f1", "f2", "n_shingles"], "left_semi"
     )
@@ -213,7 +221,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     heads = buckets.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top"))
     stars = buckets.join(heads.select("key", (-F.col("top.minus")).alias("head")), "key").where("node <> head")
     stars = staged(stars.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct(), "stars")
-    sets_of = _sets_of(stars, docs)
+    sets_of = _sets_of(stars, docs, sets)
     links = staged(_verified(stars, sets_of, percent), "links")
     labels = staged(connected_components(links), "labels")
     # second round: only across components, among the members of buckets that still hold several
@@ -232,9 +240,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         F.coalesce("node", "component").alias("node"), F.coalesce("merged", "component").alias("component_id")
     )
     rep = sets.join(label, "node", "left").select("f1", "f2", "n_shingles", F.coalesce("component_id", "node").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "f1", "f2").join(rep, ["f1", "f2", "n_shingles"], "left")
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+    # of each document its component, for all its rows
+    placed = own.join(rep, ["f1", "f2", "n_shingles"], "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = signed.select("doc_id", "n_shingles").join(placed, "doc_id", "left").select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -51,3 +51,12 @@ def test_one_large_group(spark, hot):
         copy[(d * 13 + 50) % 200] = f"y{d}"
         rows.append((d, " ".join(copy)))
     check(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+
+
+def test_one_id_with_different_texts(spark):
+    """Such rows are one document, with the set of most shingles, whatever their order."""
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, a), (1, f"{b} x y z"), (2, a), (3, f"{b} x y z"), (4, f"{b} x y"), (1, None)]
+    for order in (rows, rows[::-1]):
+        out = near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == [(1, 0, 1), (1, 36, 1), (1, 39, 1), (2, 36, 2), (3, 39, 1), (4, 38, 1)]
