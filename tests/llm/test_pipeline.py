@@ -46,6 +46,8 @@ def test_rows_without_words_or_ids(spark, sf_dir):
         docs = staged(stage(spark, docs, sf_dir), name)
         seen.append(sorted(r.doc_id or -1 for r in docs.collect()))
     assert seen[:4] == [[-1, 1, 1, 2], [-1, 1, 1, 2], [-1, 1], [-1, 1]]
+    plan = corpus_pipeline.mixing.mixed(spark.createDataFrame([r for r in rows if r[0] in (None, 1)][:2], "doc_id long, text string, lang string, source string, n_chars long")).where("copies > 0")
+    assert seen[4] == sorted(r.doc_id or -1 for r in plan.collect())
     empty = docs.sparkSession.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for name, stage in corpus_pipeline.STAGES:
         empty = staged(stage(spark, empty, sf_dir), name)
@@ -63,3 +65,10 @@ def test_mix_keeps_rows_without_ids_and_repeated_ids(spark, sf_dir):
     got = [tuple(r[c] for c in docs.columns) for r in out]
     assert len(got) == len(set(got)) and set(got) <= set(rows)
     assert sum(r.doc_id is None for r in out) >= 1 and all(r.size == len(r.text.split()) for r in out)
+
+
+def test_leaks_in_rows_without_ids_go(spark):
+    items = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
+    rows = [(None, f"before {items[0]} after", "en", "s", 5), (None, "nothing of the kind", "en", "s", 6), (1, items[1], "en", "s", 7), (1, "clean", "en", "s", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.n_chars for r in corpus_pipeline.decontamination(spark, docs, "/root/testdata/sf0.001").collect()) == [6, 8]
