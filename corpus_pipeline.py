@@ -38,14 +38,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which no benchmark item leaks."""
-    leaked = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti")
+    """Rows into which no benchmark item leaks, whatever their ids."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with their copies."""
-    packed = docs.select(F.struct("*").alias("row"), "doc_id", "text", "source")
+    """The documents that the mix takes, with their copies; rows that share a doc_id are taken each."""
+    packed = docs.select(F.struct("*").alias("row"), "doc_id", "text", "source", "lang")
     return mixing.mixed(packed, ("row",)).where("copies > 0").select("row.*", "size", "source_size", "target", "taken", "copies")
 
 
