@@ -36,11 +36,10 @@ from .common import table
 
 ORDER, MIN_COUNT, BACKOFF = 3, 2, 0.4
 #: Text bytes of a block, at most about.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 10_000_000
 #: Blocks of small inputs.
 LEAST_BLOCKS = 48
 REQUEST = "block long, bucket long, n long, hashes binary, counts binary"
-TABLE = "bucket long, n long, hashes binary, counts binary"
 ANSWER = "block long, bucket long, n long, counts binary"
 _ALL = np.uint64(0x243F6A8885A308D3)
 
@@ -188,6 +187,12 @@ def _joined(requests: pa.Table, counted: pa.Table) -> pa.Table:
     return pa.table({"block": requests.column("block"), "bucket": requests.column("bucket"), "n": requests.column("n"), "counts": pa.array(out, pa.binary())})
 
 
+def _answer(requests: pa.Table) -> pa.Table:
+    """A bucket's part of the table, and the n-grams that were asked for joined to it, in one task: sent
+    through an exchange of its own, the table took 0.3 times the input on disk."""
+    return _joined(requests, _summed(requests))
+
+
 def _score(docs: pa.Table, answers: pa.Table) -> pa.Table:
     if not docs.num_rows:
         return pa.table({k: pa.array([], t) for k, t in (("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_backed_off", pa.int64()), ("log10_sum", pa.float64()), ("score", pa.float64()))})
@@ -234,9 +239,7 @@ def scores(docs: DataFrame) -> DataFrame:
             asked = dealt.groupBy("block").applyInArrow(_request(buckets, r), REQUEST)
         else:
             asked = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_request(buckets, r), REQUEST)
-        # the table and the join read one exchange
-        counted = asked.groupBy("bucket").applyInArrow(_summed, TABLE)
-        new = asked.groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(_joined, ANSWER).withColumn("round", F.lit(r).cast("long"))
+        new = asked.groupBy("bucket").applyInArrow(_answer, ANSWER).withColumn("round", F.lit(r).cast("long"))
         answers = new if answers is None else answers.unionByName(new)
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score, "doc_id long, n_words long, n_backed_off long, log10_sum double, score double")
 
@@ -250,7 +253,8 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = rf"""
 with d as (
   select row_number() over () as r, doc_id,
-    list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') as w
+    list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') as w
   from documents
 ), g as materialized (
   select r, i, w[i] as g1, case when i > 1 then w[i - 1] || ' ' || w[i] end as g2, case when i > 2 then w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] end as g3,
