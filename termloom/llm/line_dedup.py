@@ -39,6 +39,8 @@ from .common import staged, table
 
 LEAD, MIN_DOCS = 3, 3
 LONG, MIN_DOCS_LONG = 50, 2
+#: Up to so many forms (two longs each) are sent to every task to pick lines by; beyond, lines are joined.
+FORM_BROADCAST = 500_000
 #: Forms of a leaf up to which no bands are made.
 SMALL = 64
 MIN_SIMILAR, SIMILAR = 6, 80
@@ -162,15 +164,21 @@ def recurring(docs: DataFrame) -> DataFrame:
     """(doc_id, forms): the forms that each document loses."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     lines = staged(ids.mapInArrow(_lines, LINES), "lines")
-    forms = staged(lines.groupBy("leaf", "h", "n").agg(F.count_distinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.first("sig").alias("sig")), "forms")
+    # a document's lines are distinct, but for rows that repeat its id
+    twice = staged(ids.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id"), "twice")
+    if not twice.isEmpty():
+        own = lines.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "h"])
+        lines = lines.join(twice, "doc_id", "left_anti").unionByName(own)
+    forms = staged(lines.groupBy("leaf", "h", "n").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.first("sig").alias("sig")), "forms")
     leaves = forms.where(F.col("n") >= MIN_SIMILAR).groupBy("leaf", "n").agg(F.count("*").alias("n_forms"), F.sum("n_docs").alias("all_docs"))
     leaves = leaves.where((F.col("n_forms") > 1) & (F.col("all_docs") >= _enough())).select("leaf")
     shared = forms.where(F.col("n") >= MIN_SIMILAR).join(leaves, "leaf").select("leaf", "h", "n", "sig")
     may = staged(shared.groupBy("leaf").applyInArrow(_templates(np.uint16), TEMPLATES), "may")
     # the whole words of those forms, from the first document of each
-    reps = may.select("h", "leaf").join(forms.select("h", "leaf", F.col("first_doc").alias("doc_id")), ["h", "leaf"])
-    some = ids.join(reps.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
-    whole = some.mapInArrow(_whole_lines, LINES).join(staged(reps, "reps"), ["doc_id", "h", "leaf"], "left_semi").dropDuplicates(["leaf", "h"])
+    reps = staged(may.select("h", "leaf").join(forms.select("h", "leaf", F.col("first_doc").alias("doc_id")), ["h", "leaf"]), "reps")
+    sent = F.broadcast if reps.count() <= FORM_BROADCAST else lambda x: x
+    some = ids.join(sent(reps.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text")
+    whole = some.mapInArrow(_whole_lines, LINES).join(sent(reps), ["doc_id", "h", "leaf"], "left_semi").dropDuplicates(["leaf", "h"])
     near = staged(whole.groupBy("leaf").applyInArrow(_templates(np.uint64), TEMPLATES), "near")
     templates = lines.join(near.drop("n"), ["leaf", "h"]).groupBy("leaf", "template").agg(F.count_distinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
     by_template = near.join(templates, ["leaf", "template"]).where(F.col("n_docs") >= _enough()).select("h", "first_doc")
