@@ -52,6 +52,8 @@ SPAN = LENGTH - GRAM + 1
 BLOCK_BYTES, PART_BYTES = 7_000_000, 8_000_000
 #: Pieces looked at for splitters, about, whatever the input.
 SPLIT_SAMPLE = 4_000
+#: Text bytes whose pieces are hashed at once.
+CHUNK = 1 << 19
 #: Anchors whose places are turned into Python numbers at once.
 STRIDE = 100_000
 NONE = 255
@@ -104,7 +106,7 @@ def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _anchored(docs: pa.Table) -> list[tuple]:
     """(bytes, offsets, anchors...) of the pieces of a block."""
     data, off = tk.text_buffer(docs.column("text").combine_chunks())
-    return [(part, poff, *anchors(part, poff)) for _, _, part, poff in tk.chunks(data, off)]
+    return [(part, poff, *anchors(part, poff)) for _, _, part, poff in tk.chunks(data, off, CHUNK)]
 
 
 def _count(docs: pa.Table) -> pa.Table:
