@@ -328,21 +328,6 @@ def cedict_lookup(spark, sf_dir):
     return d.select("id", "pinyin", F.array_join("definitions", "/").alias("definitions"), "more", "also")
 
 
-_CJK = "(values ('仁義'), ('a仁'), (''), ('𠀀'), ('仁者，人也。親親為大！')) t(s)"
-
-
-@query(f"select s, regexp_matches(s, '^[\\x{{4e00}}-\\x{{9fff}}]+$') as cjk from {_CJK}")
-def is_cjk(spark, sf_dir):
-    return spark.createDataFrame([("仁義",), ("a仁",), ("",), ("𠀀",), ("仁者，人也。親親為大！",)], "s string").select("s", T.is_cjk(F.col("s")).alias("cjk"))
-
-
-@query("select * from (values (1, 0, '仁 者 人 也'), (1, 1, '親 親 為 大'), (2, 0, '義')) t(doc_id, sent_id, tokens)")
-def classical_tokens(spark, sf_dir):
-    docs = spark.createDataFrame([(1, "仁者，人也。親親為大！"), (2, "a義b。!"), (3, "none")], "doc_id int, text string")
-    s = vocab.sentences(docs, F.lit("zh"), split=T.classical_sentences, tokens=T.classical_tokens)
-    return s.select("doc_id", "sent_id", F.array_join("tokens", " ").alias("tokens"))
-
-
 @query(f"{chain()}, {PRUNE} select source, target, round(log2(weight + 1) * 0.4, 9) as stroke from pruned")
 def edge_stroke(spark, sf_dir):
     e = network.cooccurrence_network(_english(spark, sf_dir), _terms(spark), MIN_FREQ, MAX_NODES)
@@ -430,12 +415,28 @@ sents as (select graph_id, doc_id, sent_id, regexp_extract_all(s, '[\x{{4e00}}-\
 terms as (select 'zh' as graph_id, '{ZH_TERM}' as term),""" + "tok as materialized (" + chain().split("tok as materialized (", 1)[1].replace(f"where freq >= {MIN_FREQ}", f"where freq >= {ZH_FREQ} and token not in ({_ZH_STOP})")
 
 
+def _chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = readers.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return c.select(F.col("conv_id").alias("doc_id"), F.translate(F.lower(F.array_join("t.text", "\n")), _LETTERS, _HANZI).alias("text"))
+
+
+@query(f"""with w as (select conv_id, turn, string_split(translate(lower(text), '{_LETTERS}', '{_HANZI}'), ' ') as l from conversations),
+s as (select conv_id, turn, cast(unnest(range(len(l))) as int) as k, unnest(l) as s from w) select conv_id, turn, k, s, regexp_matches(s, '^[\\x{{4e00}}-\\x{{9fff}}]+$') as cjk from s""")
+def is_cjk(spark, sf_dir):
+    w = readers.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.translate(F.lower("text"), _LETTERS, _HANZI), " ")).alias("k", "s"))
+    return w.select("conv_id", "turn", "k", "s", T.is_cjk(F.col("s")).alias("cjk"))
+
+
+@query(f"{_ZH.split('terms as (', 1)[0].rstrip().rstrip(',')} select doc_id, cast(sent_id as int) as sent_id, array_to_string(tokens, ' ') as tokens from sents where len(tokens) > 0")
+def classical_tokens(spark, sf_dir):
+    s = vocab.sentences(_chapters(spark, sf_dir), F.lit("zh"), split=T.classical_sentences, tokens=T.classical_tokens)
+    return s.select("doc_id", "sent_id", F.array_join("tokens", " ").alias("tokens"))
+
+
 @query(f"{_ZH}, {PRUNE} select source, target, round(weight, 9) as weight from pruned")
 def chinese_network(spark, sf_dir):
     """The classical Chinese path: chapters to one pooled network, with stop words and a low limit."""
-    c = readers.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    docs = c.select(F.col("conv_id").alias("doc_id"), F.translate(F.lower(F.array_join("t.text", "\n")), _LETTERS, _HANZI).alias("text"))
-    s = vocab.sentences(docs, F.lit("zh"), split=T.classical_sentences, tokens=T.classical_tokens)
+    s = vocab.sentences(_chapters(spark, sf_dir), F.lit("zh"), split=T.classical_sentences, tokens=T.classical_tokens)
     e = network.cooccurrence_network(s, _terms(spark, [("zh", ZH_TERM)]), ZH_FREQ, MAX_NODES, T.CLASSICAL_STOPWORDS)
     return _rounded(e.select("source", "target", "weight"), "weight")
 

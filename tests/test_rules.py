@@ -212,3 +212,24 @@ def test_blocked_product_equals_the_plain_one(spark, monkeypatch):
     assert want and pairs(similarity.cosine_edges(cells, 0.3)) == want
     nodes = spark.createDataFrame([("g", words[0])], "graph_id string, id string")
     assert pairs(similarity.CosineGraph(cells, 0.3).at(nodes)) == {k: v for k, v in want.items() if words[0] in k}
+
+
+def test_classical_sentences_and_characters(spark):
+    docs = spark.createDataFrame([(1, "仁者，人也。親親為大！"), (2, "a義b。!"), (3, "none")], "doc_id int, text string")
+    s = vocab.sentences(docs, F.lit("zh"), split=T.classical_sentences, tokens=T.classical_tokens)
+    assert sorted((r.doc_id, r.sent_id, "".join(r.tokens)) for r in s.collect()) == [(1, 0, "仁者人也"), (1, 1, "親親為大"), (2, 0, "義")]
+    words = spark.createDataFrame([("仁義",), ("a仁",), ("",), ("𠀀",)], "s string").select(T.is_cjk(F.col("s"))).collect()
+    assert [r[0] for r in words] == [True, False, False, False]
+
+
+def test_network_of_all_batches(spark, tmp_path):
+    """Each micro-batch's network is that of all sentences gathered; a batch that runs again counts once."""
+    from termloom.streaming import counts
+
+    out = []
+    on_batch = counts.network_per_batch(term(spark, "a"), 2, 15, str(tmp_path / "gathered"), lambda net, epoch: out.append(pairs(net)))
+    one, two = sents(spark, [["a", "b"], ["c", "d"]]), sents(spark, [["a", "b"], ["c", "d"], ["a", "c"]])
+    on_batch(one, 0)
+    on_batch(two, 1)
+    on_batch(two, 1)
+    assert out[0] == {} and ("a", "b") in out[1] and out[1] == out[2]
