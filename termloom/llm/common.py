@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..storage import shared_dir, shipped, staged, table
@@ -17,25 +18,19 @@ def n_shuffle(spark: SparkSession) -> int:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of an undirected graph given as (a, b) rows of longs; component is the
     smallest node reachable. Distributed union-find by alternating large-star and small-star
-    steps; only two counts per round reach the driver. Nodes without an edge are absent."""
-    e = staged(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
-        "edges",
-    )
-    seen = None
+    steps, each one exchange by node; only one flag per round reaches the driver. edges are read
+    once. Nodes without an edge are absent."""
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    # rows that repeat are next to each other in both orders
+    near, order = W.partitionBy("u").orderBy("v"), W.partitionBy("u").orderBy("v", F.desc("moved"))
     for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = staged(linked.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
+        both = e.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+        large = both.withColumns({"m": F.least("u", F.first("v").over(near)), "last": F.lag("v").over(near)})
+        large = large.where("v > u and not last <=> v").select(F.col("v").alias("u"), F.col("m").alias("v"), F.expr("m <> u").alias("moved"))
+        small = large.withColumns({"m": F.first("v").over(order), "last": F.lag("v").over(order)}).where("not last <=> v")
+        e = staged(small.select(F.expr("if(v = m, u, v)").alias("u"), F.col("m").alias("v"), F.expr("moved or v <> m").alias("moved")), "edges")
+        if not e.agg(F.max("moved")).first()[0]:
             break
-        seen = now
     else:
         raise RuntimeError("connected components did not converge")
-    return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionByName(
-        e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
+    return e.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component"))))).distinct()

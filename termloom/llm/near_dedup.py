@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
@@ -215,23 +216,23 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         sets.withColumnRenamed("node", "doc_id"), ["doc_id", "f1", "f2", "n_shingles"], "left_semi"
     )
     bucketed = keys.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    shared = bucketed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = staged(bucketed.join(shared, "key").select("key", "node", "n", "size"), "buckets")
-    central = buckets.groupBy("node").agg(F.sum("size").alias("weight"))
-    heads = buckets.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top"))
-    stars = buckets.join(heads.select("key", (-F.col("top.minus")).alias("head")), "key").where("node <> head")
+    # what a key knows of its rows comes from a window: one exchange by the key, no join
+    by_key = W.partitionBy("key")
+    buckets = staged(bucketed.withColumn("size", F.count("*").over(by_key)).where("size > 1"), "buckets")
+    central = buckets.select("key", "node", F.sum("size").over(W.partitionBy("node")).alias("weight"))
+    stars = central.select("node", (-F.max(F.struct("weight", (-F.col("node")).alias("minus"))).over(by_key)["minus"]).alias("head")).where("node <> head")
     stars = staged(stars.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct(), "stars")
     sets_of = _sets_of(stars, docs, sets)
     links = staged(_verified(stars, sets_of, percent), "links")
     labels = staged(connected_components(links), "labels")
     # second round: only across components, among the members of buckets that still hold several
     cell = buckets.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
-    mixed = cell.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("node").alias("head")).where("lo <> hi").select("key", "head")
-    cell = staged(cell.join(mixed, "key").select("head", "node", "n", "c").distinct(), "mixed")
-    families = staged(connected_components(cell.select(F.col("head").alias("a"), F.col("node").alias("b"))), "families")
+    cell = cell.withColumns({"lo": F.min("c").over(by_key), "hi": F.max("c").over(by_key), "head": F.min("node").over(by_key)}).where("lo <> hi")
+    cell = staged(cell.select("head", "node", "n", "c").distinct(), "mixed")
+    families = connected_components(cell.select(F.col("head").alias("a"), F.col("node").alias("b")))
     member = cell.select("node", "n", "c").distinct().join(families, "node").withColumnRenamed("component", "family")
-    blocks = member.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).alias("k"))
-    member = member.join(blocks, "family").join(sets_of, "node").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("k")))
+    member = member.withColumn("k", F.ceil(F.sum("n").over(W.partitionBy("family")) / BLOCK))
+    member = member.join(sets_of, "node").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("k")))
     pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda x: F.struct(F.least("_own", x).alias("i"), F.greatest("_own", x).alias("j")))
     member = member.select("family", "node", "c", "set", F.explode(pair).alias("p")).select("family", "p.i", "p.j", "node", "c", "set")
     more = staged(member.groupBy("family", "i", "j").applyInArrow(_across(percent), "a long, b long").distinct(), "more")

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from termloom.llm import common
 from termloom.llm.near_dedup import near_duplicates, op6_near_dedup
 from tests.llm import brute
 
@@ -60,3 +61,29 @@ def test_one_id_with_different_texts(spark):
     for order in (rows, rows[::-1]):
         out = near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect()
         assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == [(1, 0, 1), (1, 36, 1), (1, 39, 1), (2, 36, 2), (3, 39, 1), (4, 38, 1)]
+
+
+def test_union_find_takes_two_exchanges_a_round(spark, monkeypatch):
+    """Components of chains, stars, cycles and loose pairs, some edges repeated or turned, and what a round costs."""
+    exchanges, staged = [], common.staged
+
+    def counted(df, label):
+        exchanges.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return staged(df, label)
+
+    monkeypatch.setattr(common, "staged", counted)
+    rnd = random.Random(9)
+    ids = rnd.sample(range(-(10**12), 10**12), 700)
+    edges = list(zip(ids[:100], ids[1:100])) + [(ids[100], x) for x in ids[101:300]] + list(zip(ids[300:340], [*ids[301:340], ids[300]]))
+    edges += [tuple(rnd.sample(ids[340:], 2)) for _ in range(150)] + [(ids[0], ids[0]), (ids[699], ids[699])]
+    edges += [e[::-1] for e in edges[::3]] + edges[::5]
+    rnd.shuffle(edges)
+    least = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in range(200):
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    out = common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(out) == len(least) and {r.node: r.component for r in out} == least
+    assert exchanges and max(exchanges) <= 2
+    assert common.connected_components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
