@@ -1,11 +1,13 @@
 import random
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from termloom.llm import textkernel as tk
-from termloom.llm.toxicity import DIM, WIDTHS, TextCnn, _buckets, labelled_sample, op10_toxicity, toxicity
+from termloom.llm.toxicity import DIM, WIDTHS, TextCnn, _buckets, labelled_sample, op10_toxicity, shards, toxicity
 
 
 def corpus(n=900, seed=1):
@@ -80,3 +82,23 @@ def test_long_texts_are_sampled_too(spark):
     docs = [(d, ("filler " * 20_000 + t) if x[0] and d % 9 == 0 else t, *r) for (d, t, *r), x in zip(docs, [(lab[2],) for lab in labels], strict=True)]
     rows = labelled_sample(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").select("doc_id", "text", "lang"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     assert any(len(r.text) > 100_000 for r in rows) and {r.part for r in rows} == {1, 2, 3, 4}
+
+
+def test_all_labelled_rows_are_learned_from(spark):
+    """A word that only the toxic rows have that are last by hash, beyond the first 2000; and rows in another order."""
+    docs, labels = corpus(9000)
+    toxic = [r.id for r in spark.range(0, 9000, 3).orderBy(F.xxhash64("id"), "id").collect()]
+    fitted = [d for d in toxic if zlib.crc32(str(d).encode()) % 5]
+    held = [d for d in toxic if zlib.crc32(str(d).encode()) % 5 == 0][::2]
+    assert len(fitted) > 2300
+    for d in fitted[-300:] + held:
+        _, text, *rest = docs[d]
+        docs[d] = (d, re.sub("zorgface|Quixtard|wumpling", "blorvex", text), *rest)
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows = [r.doc_id for r in shards(df, marks).collect()]
+    assert sorted(rows) == [d for d in range(9000) if zlib.crc32(str(d).encode()) % 5]
+    got = {r.doc_id: (r.score, r.predicted, r.lang_threshold) for r in toxicity(df, marks).collect()}
+    assert sum(got[d][1] for d in held) >= 0.95 * len(held)
+    again = toxicity(df.repartition(7, "text"), marks.repartition(3, "doc_id")).collect()
+    assert {r.doc_id: (r.score, r.predicted, r.lang_threshold) for r in again} == got
