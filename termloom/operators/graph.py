@@ -34,18 +34,32 @@ def _second(edges: DataFrame, one: DataFrame) -> DataFrame:
     return reached.groupBy("graph_id", "term", "node").agg(F.max(F.col("w1") * F.col("w2")).alias("score"))
 
 
-def two_hop(edges: DataFrame, terms: DataFrame) -> DataFrame:
-    """(graph_id, term, node, score) of nodes two steps away: the largest product of two weights."""
-    return _second(edges, neighbours(edges, terms))
+def _neighbours(edges, terms: DataFrame) -> DataFrame:
+    """neighbours() in a frame of edges, or in a graph that makes only the edges asked for, whose
+    neighbours are written, as they are read more than once."""
+    if isinstance(edges, DataFrame):
+        return neighbours(edges, terms)
+    return staged(neighbours(edges.at(terms.select("graph_id", F.col("term").alias("id"))), terms), "one")
+
+
+def _two_hop(edges, one: DataFrame) -> DataFrame:
+    return _second(edges, one) if isinstance(edges, DataFrame) else edges.two_hop(one)
+
+
+def two_hop(edges, terms: DataFrame) -> DataFrame:
+    """(graph_id, term, node, score) of nodes two steps away: the largest product of two weights. Here
+    and below edges is a frame, or a graph that makes only the edges asked for (cooccur.PmiGraph)."""
+    return _two_hop(edges, _neighbours(edges, terms))
 
 
-def ranked(edges: DataFrame, terms: DataFrame) -> DataFrame:
+def ranked(edges, terms: DataFrame) -> DataFrame:
     """(graph_id, term, node, hop, score): the neighbourhood of each term."""
-    one = neighbours(edges, terms).select("graph_id", "term", "node", F.lit(1).alias("hop"), F.col("weight").alias("score"))
-    return one.unionByName(two_hop(edges, terms).select("graph_id", "term", "node", F.lit(2).alias("hop"), "score"))
+    one = _neighbours(edges, terms)
+    first = one.select("graph_id", "term", "node", F.lit(1).alias("hop"), F.col("weight").alias("score"))
+    return first.unionByName(_two_hop(edges, one).select("graph_id", "term", "node", F.lit(2).alias("hop"), "score"))
 
 
-def proximity(edges: DataFrame, wanted: DataFrame) -> DataFrame:
+def proximity(edges, wanted: DataFrame) -> DataFrame:
     """Score of each wanted(graph_id, term, node): the edge's weight, else the best two-step
     product, else 0."""
     r = ranked(edges, wanted.select("graph_id", "term").distinct())
@@ -61,6 +75,13 @@ def ego(edges: DataFrame, terms: DataFrame, radius: int = 2) -> DataFrame:
     return out
 
 
+def within_two(edges, terms: DataFrame) -> DataFrame:
+    """ego() of radius 2, from the neighbourhood alone."""
+    r = ranked(edges, terms)
+    centre = r.select("graph_id", "term", F.col("term").alias("node")).distinct()
+    return r.select("graph_id", "term", "node").unionByName(centre)
+
+
 def _first(ranked: DataFrame, k: int) -> DataFrame:
     """The first k rows of each graph with their rank; the planner limits each task's rows to k before
     they are shuffled."""
@@ -74,6 +95,12 @@ def top_neighbourhood(edges: DataFrame, terms: DataFrame, max_nodes: int) -> Dat
     return _first(ranked(edges, terms), max_nodes)
 
 
+def first_neighbours(edges, terms: DataFrame, max_nodes: int) -> DataFrame:
+    """The direct neighbours in top_neighbourhood(), which come first in it: no second step is made."""
+    one = _neighbours(edges, terms)
+    return _first(one.select("graph_id", "term", "node", F.lit(1).alias("hop"), F.col("weight").alias("score")), max_nodes)
+
+
 def induced(edges: DataFrame, keep: DataFrame) -> DataFrame:
     """Edges with both ends in keep(graph_id, id)."""
     for c in ("source", "target"):

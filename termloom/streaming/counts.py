@@ -14,7 +14,7 @@ from ..storage import new_path
 
 def pair_count_stream(sents: DataFrame) -> DataFrame:
     """Running pair counts of a stream of sentences, for output modes update and complete."""
-    return cooccur.pair_counts(sents)
+    return cooccur.pair_rows(sents)
 
 
 def final_counts(sents: DataFrame) -> DataFrame:
