@@ -6,8 +6,10 @@ from collections import Counter
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
-from termloom.operators import cooccur, packed
+from termloom.operators import cooccur, graph, packed
+from termloom.plans import catalogue
 
 
 def random_sents(spark, graphs=("g", "h"), n=120, seed=3):
@@ -44,3 +46,38 @@ def test_pairs_travel_packed(spark, monkeypatch):
     assert len(packed.Words.of_sentences(s).blocks()) > 10
     for df in (got, cooccur.pmi_scores(s)):
         assert "hashpartitioning(block" in plan(df) and "Exchange hashpartitioning(graph_id" not in plan(df)
+
+
+def test_neighbourhoods_without_the_whole_graph(spark, monkeypatch):
+    """Two terms in one graph and one in another; the same as from the listed edges, which aren't made."""
+    s, rows = random_sents(spark)
+    terms = spark.createDataFrame([("g", "a"), ("g", "b"), ("h", "c"), ("h", "none")], "graph_id string, term string")
+    e, _ = brute_edges(rows)
+    one = {(g, t, n): w for g, t in [("g", "a"), ("g", "b"), ("h", "c")] for (x, m, n), w in e.items() if (x, m) == (g, t)}
+    two = {}
+    for (g, t, m), w in one.items():
+        for (x, k, n), w2 in e.items():
+            if (x, k) == (g, m) and n != t and (g, t, n) not in one:
+                two[g, t, n] = max(two.get((g, t, n), 0), w * w2)
+    assert two
+    monkeypatch.setattr(cooccur, "pair_stats", None)  # what lists all edges
+    pmi = cooccur.PmiGraph(s)
+    near = lambda df: {(r.graph_id, r.term, r.node): pytest.approx(r.score) for r in df.collect()}
+    assert near(graph.two_hop(pmi, terms)) == two
+    assert near(graph.ranked(pmi, terms)) == one | two
+    assert {(r.graph_id, r.term, r.node) for r in graph.within_two(pmi, terms).collect()} == {*one, *two, *((g, t, t) for g, t, _ in one)}
+    wanted = terms.select("graph_id", "term", F.explode(F.array(*(F.lit(x) for x in "abcz"))).alias("node"))
+    assert near(graph.proximity(pmi, wanted)) == {(g, t, n): (one | two).get((g, t, n), 0) for g, t in [("g", "a"), ("g", "b"), ("h", "c"), ("h", "none")] for n in "abcz"}
+    first = {(r.graph_id, r.node): r.rank for r in graph.first_neighbours(pmi, terms.where("term in ('a', 'c')"), 3).collect()}
+    order = sorted(((-w, n) for (g, t, n), w in one.items() if (g, t) == ("g", "a")))[:3]
+    assert {n: k for (g, n), k in first.items() if g == "g"} == {n: k for k, (_, n) in enumerate(order, 1)}
+
+
+@pytest.mark.parametrize("name", ["one_hop_topk"])
+def test_query_of_a_few_nodes_makes_no_whole_graph(spark, sf_dir, monkeypatch, name):
+    def whole(*_):
+        raise AssertionError("all pairs are made")
+
+    for f in ("pair_counts", "pair_stats", "pmi_edges"):
+        monkeypatch.setattr(cooccur, f, whole)
+    assert catalogue.QUERIES[name](spark, sf_dir).count()
