@@ -73,7 +73,7 @@ def test_neighbourhoods_without_the_whole_graph(spark, monkeypatch):
     assert {n: k for (g, n), k in first.items() if g == "g"} == {n: k for k, (_, n) in enumerate(order, 1)}
 
 
-@pytest.mark.parametrize("name", ["one_hop_topk", "two_hop_scores", "ego_graph", "proximity"])
+@pytest.mark.parametrize("name", ["one_hop_topk", "two_hop_scores", "ego_graph", "proximity", "pmi_lookup"])
 def test_query_of_a_few_nodes_makes_no_whole_graph(spark, sf_dir, monkeypatch, name):
     def whole(*_):
         raise AssertionError("all pairs are made")
