@@ -8,7 +8,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from termloom.operators import cooccur, graph, packed
+from termloom.operators import cooccur, graph, packed, similarity
 from termloom.plans import catalogue
 
 
@@ -81,3 +81,41 @@ def test_query_of_a_few_nodes_makes_no_whole_graph(spark, sf_dir, monkeypatch, n
     for f in ("pair_counts", "pair_stats", "pmi_edges"):
         monkeypatch.setattr(cooccur, f, whole)
     assert catalogue.QUERIES[name](spark, sf_dir).count()
+
+
+@pytest.mark.parametrize("looked_up", [0, 60])
+def test_cosines_read_blocks_and_deal_out_none(spark, monkeypatch, looked_up):
+    """Two graphs, many blocks and strips, with the rest of each pair looked up (0) or not; pairs with occurrences."""
+    for name, value in (("BLOCK_CELLS", 60), ("BLOCK_ROWS", 4), ("STRIP", 3), ("LOOKED_UP", looked_up)):
+        monkeypatch.setattr(similarity, name, value)
+    plans = {}
+
+    def staged(df, label, put=similarity.staged):
+        plans[label] = plan(df)
+        return put(df, label)
+
+    monkeypatch.setattr(similarity, "staged", staged)
+    s, rows = random_sents(spark, n=40)
+    m = {}
+    for g, _, _, tokens in rows:
+        n = Counter(tokens)
+        for a in n:
+            for b in n:
+                if a != b:
+                    m.setdefault((g, a), Counter())[b] += n[a] * n[b]
+    norm = {k: math.sqrt(sum(x * x for x in v.values())) for k, v in m.items()}
+    want = {(g, a, b): sum(x * m[g, b][c] for c, x in m[g, a].items()) / norm[g, a] / norm[g, b] for g, a in m for h, b in m if g == h and a < b}
+    want = {k: pytest.approx(v) for k, v in want.items() if v >= 0.7}
+    found = lambda df: {(r.graph_id, r.source, r.target): r.weight for r in df.collect()}
+    cells = similarity.context_cells(s)
+    assert {(r.graph_id, r.a, r.b): r.m for r in cells.collect()} == {(g, a, b): x for (g, a), v in m.items() for b, x in v.items() if a < b}
+    assert want and found(similarity.cosine_edges(cells, 0.7)) == want
+    graph_ = similarity.CosineGraph(similarity.context_matrix(s), 0.7)
+    assert found(similarity.cosine_edges(graph_.matrix, 0.7)) == want
+    assert graph_.matrix.blocks.count() > 8
+    assert "CartesianProduct" in plans["cosines"] and "Exchange" not in plans["cosines"]
+    some = spark.createDataFrame([("g", "a"), ("g", "b"), ("h", "c"), ("h", "none")], "graph_id string, id string")
+    ends = {("g", "a"), ("g", "b"), ("h", "c")}
+    assert found(graph_.at(some)) == {k: v for k, v in want.items() if {(k[0], k[1]), (k[0], k[2])} & ends}
+    assert found(graph_.among(some)) == {k: v for k, v in want.items() if {(k[0], k[1]), (k[0], k[2])} <= ends}
+    assert found(graph_.whole(spark.createDataFrame([("h",)], "graph_id string"))) == {k: v for k, v in want.items() if k[0] == "h"}
