@@ -119,3 +119,16 @@ def test_cosines_read_blocks_and_deal_out_none(spark, monkeypatch, looked_up):
     assert found(graph_.at(some)) == {k: v for k, v in want.items() if {(k[0], k[1]), (k[0], k[2])} & ends}
     assert found(graph_.among(some)) == {k: v for k, v in want.items() if {(k[0], k[1]), (k[0], k[2])} <= ends}
     assert found(graph_.whole(spark.createDataFrame([("h",)], "graph_id string"))) == {k: v for k, v in want.items() if k[0] == "h"}
+
+
+def test_vectors_are_multiplied_in_blocks(spark):
+    """Slices and batches of a few rows; nulls, zeros and another length have no cosine. No vector is copied to each batch."""
+    rnd = random.Random(5)
+    rows = [(k, [rnd.gauss(0, 1) for _ in range(4)]) for k in range(60)] + [(90, [0.0] * 4), (91, None), (92, [1.0, None, 1.0, 1.0]), (93, [1.0] * 3), (None, [1.0] * 4)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2)
+    whole = {k: x for k, x in v.collect() if k is not None and x and None not in x and any(x)}
+    norm = {k: math.sqrt(sum(a * a for a in x)) for k, x in whole.items()}
+    want = {(q, k): sum(a * b for a, b in zip(whole[q], x, strict=True)) / norm[q] / norm[k] for q in whole if q % 3 == 0 for k, x in whole.items() if q != k and len(x) == len(whole[q])}
+    got = similarity.vector_cosine_edges(v, 0.2, v.where("vec_id % 3 = 0"), slice_rows=7, batch=3)
+    assert {(r.source, r.target): r.weight for r in got.collect()} == {k: pytest.approx(w) for k, w in want.items() if w >= 0.2}
+    assert "CartesianProduct" in plan(got) and "Exchange" not in plan(got)
