@@ -11,16 +11,30 @@ from pyspark.sql import functions as F
 
 TAGGED = "array<array<struct<lemma:string,pos:string,is_stop:boolean,is_alpha:boolean>>>"
 
+#: Characters of texts whose words are held at a time.
+PART = 100_000
+
+
+def _parts(texts: pd.Series) -> Iterator[pd.Series]:
+    """texts in their order, each part as long as its text number PART characters, or a longer text alone."""
+    ends = texts.str.len().fillna(0).cumsum().to_numpy()
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(ends.searchsorted((ends[lo - 1] if lo else 0) + PART, "right")))
+        yield texts.iloc[lo:hi]
+        lo = hi
+
 
 def tagged(docs: DataFrame, load: Callable, text: str = "text") -> DataFrame:
     """docs with the column tagged: sentences of (lemma, pos, is_stop, is_alpha). load() makes the
     tagger, a function from a text to such sentences; each Python worker calls it once and keeps it
-    for all its Arrow batches. A null text has no sentences."""
+    for all its Arrow batches. A null text has no sentences. Words of about PART characters of texts are
+    held at a time, however many texts a batch has."""
 
     def tag(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tagger = load()
-        for texts in batches:
-            yield texts.map(lambda t: [[dict(zip(("lemma", "pos", "is_stop", "is_alpha"), w, strict=True)) for w in s] for s in tagger(t)] if t else [])
+        for part in (p for texts in batches for p in _parts(texts)):
+            yield part.map(lambda t: [[dict(zip(("lemma", "pos", "is_stop", "is_alpha"), w, strict=True)) for w in s] for s in tagger(t)] if t else [])
 
     return docs.withColumn("tagged", F.pandas_udf(tag, TAGGED)(F.col(text)))
 

@@ -8,6 +8,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from termloom.functions import adapters
 from termloom.operators import cooccur, graph, packed, similarity
 from termloom.plans import catalogue
 
@@ -132,3 +133,28 @@ def test_vectors_are_multiplied_in_blocks(spark):
     got = similarity.vector_cosine_edges(v, 0.2, v.where("vec_id % 3 = 0"), slice_rows=7, batch=3)
     assert {(r.source, r.target): r.weight for r in got.collect()} == {k: pytest.approx(w) for k, w in want.items() if w >= 0.2}
     assert "CartesianProduct" in plan(got) and "Exchange" not in plan(got)
+
+
+def test_tagged_words_are_held_for_a_part_of_a_batch(spark):
+    """A batch of 10,000 texts never has all its words at hand at once; order, nulls and long texts stay."""
+
+    def load():
+        alive = [0]
+
+        class Word(str):
+            def __new__(cls, x):
+                alive[0] += 1
+                if alive[0] > 300_000:
+                    raise MemoryError("all words of the batch are held")
+                return super().__new__(cls, x)
+
+            def __del__(self):
+                alive[0] -= 1
+
+        return lambda text: [[(Word(w), "NOUN", False, True) for w in text.split()]]
+
+    text = F.when(F.col("id") % 1000 == 3, None).when(F.col("id") == 7, F.repeat(F.lit("w "), 150_000)).otherwise(F.concat(F.repeat(F.lit("w "), 99), F.col("id").cast("string")))
+    t = adapters.tagged(spark.range(0, 10_000, 1, 1).select("id", text.alias("text")), load)
+    first = F.get("tagged", F.lit(0))
+    got = {r.id: (r.n, r.last, r.words) for r in t.select("id", F.size("tagged").alias("n"), F.try_element_at(first, F.lit(-1))["lemma"].alias("last"), F.size(first).alias("words")).collect()}
+    assert got == {k: (0, None, got[k][2]) if k % 1000 == 3 else (1, "w", 150_000) if k == 7 else (1, str(k), 100) for k in range(10_000)}
