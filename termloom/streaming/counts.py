@@ -6,10 +6,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import cooccur
 from ..plans import network
-from ..storage import new_path
+from ..storage import new_path, staged
+
+COUNTS = "graph_id string, a string, b string, cooc long"
 
 
 def pair_count_stream(sents: DataFrame) -> DataFrame:
@@ -18,19 +21,23 @@ def pair_count_stream(sents: DataFrame) -> DataFrame:
 
 
 def final_counts(sents: DataFrame) -> DataFrame:
-    """Pair counts of all that a stream holds now, from tables that its micro-batches write; nothing
-    passes through the driver. State and results are in the shared folder."""
+    """Pair counts of all that a stream holds now. Each micro-batch counts its own pairs, packed, and writes
+    them as a table; these are sums, so several are added up at the end, and no state of all pairs is kept
+    and written anew by each. A batch that is run again replaces its own table."""
     spark = sents.sparkSession
-    path, epochs = new_path(spark, "pair-counts"), []
+    path, epochs = new_path(spark, "pair-counts"), set()
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-        epochs.append(epoch)
+        cooccur.pair_counts(staged(batch, "sentences")).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        epochs.add(epoch)
 
-    run = pair_count_stream(sents).writeStream.outputMode("complete").foreachBatch(write)
+    run = sents.writeStream.foreachBatch(write)
     run = run.option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{path}/epoch={epochs[-1]}")
+    if not epochs:
+        return spark.createDataFrame([], COUNTS)
+    every = spark.read.schema(COUNTS).parquet(*(f"{path}/epoch={k}" for k in sorted(epochs)))
+    return every if len(epochs) == 1 else every.groupBy("graph_id", "a", "b").agg(F.sum("cooc").alias("cooc"))
 
 
 def network_per_batch(terms: DataFrame, min_freq: int, max_nodes: int, gathered: str, sink: Callable[[DataFrame, int], None]):

@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,3 +159,23 @@ def test_tagged_words_are_held_for_a_part_of_a_batch(spark):
     first = F.get("tagged", F.lit(0))
     got = {r.id: (r.n, r.last, r.words) for r in t.select("id", F.size("tagged").alias("n"), F.try_element_at(first, F.lit(-1))["lemma"].alias("last"), F.size(first).alias("words")).collect()}
     assert got == {k: (0, None, got[k][2]) if k % 1000 == 3 else (1, "w", 150_000) if k == 7 else (1, str(k), 100) for k in range(10_000)}
+
+
+def test_stream_keeps_no_state_of_all_pairs(spark, tmp_path):
+    """Counts of two micro-batches and of none; the checkpoint has no state."""
+    from termloom.storage import shared_dir
+    from termloom.streaming import counts
+
+    s, rows = random_sents(spark)
+    half = F.col("doc_id") % 2 == 0
+    for k, part in enumerate((s.where(half), s.where(~half))):
+        part.coalesce(1).write.parquet(f"{tmp_path}/{k}")
+    folder = Path(shared_dir(spark).removeprefix("file://"), "termloom")
+    before = set(folder.glob("stream-*"))
+    stream = lambda n: spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{n}")
+    got = counts.final_counts(stream("[01]"))
+    assert {(r.graph_id, r.a, r.b): r.cooc for r in got.collect()} == brute_edges(rows)[1]
+    (tmp_path / "none").mkdir()
+    assert counts.final_counts(stream("none")).count() == 0
+    made = set(folder.glob("stream-*")) - before
+    assert made and not [p for d in made for p in d.rglob("state/*")]
