@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termloom.functions import adapters
-from termloom.operators import cooccur, graph, packed, similarity
+from termloom.operators import cooccur, graph, packed, similarity, vocab
 from termloom.plans import catalogue
 
 
@@ -179,3 +179,25 @@ def test_stream_keeps_no_state_of_all_pairs(spark, tmp_path):
     assert counts.final_counts(stream("none")).count() == 0
     made = set(folder.glob("stream-*")) - before
     assert made and not [p for d in made for p in d.rglob("state/*")]
+
+
+def test_restricted_sentences_never_leave_their_task(spark, monkeypatch):
+    """Arrays of graphs, a token of one graph only, empty rows; rows that share a key are one sentence, though one token each."""
+    plans = {}
+
+    def staged(df, label, put=vocab.staged):
+        plans.setdefault(label, plan(df))
+        return put(df, label)
+
+    monkeypatch.setattr(vocab, "staged", staged)
+    words = spark.createDataFrame([("g", "a"), ("g", "b"), ("h", "a"), ("h", "c")], "graph_id string, token string")
+    rows = [(["g", "h"], 1, 0, ["a", "x", "b", "a", "c"]), (["g"], 1, 1, ["x"]), (["h", "none"], 2, 0, ["c", "c"]), (["g"], 2, 1, []), (["g"], None, 0, ["b", "a"])]
+    sents = lambda r: spark.createDataFrame(r, "graph_id array<string>, doc_id long, sent_id int, tokens array<string>").coalesce(1)
+    got = lambda s: sorted((r.graph_id, r.doc_id or 0, r.sent_id, "".join(r.tokens)) for r in vocab.restricted(s, words).collect())
+    want = [("g", 0, 0, "ba"), ("g", 1, 0, "aba"), ("h", 1, 0, "aac"), ("h", 2, 0, "cc")]
+    assert got(sents(rows)) == want == got(vocab.each_graph(sents(rows)))
+    assert "MapInArrow" in plans["kept"] and "Exchange" not in plans["kept"]
+    assert {(r.graph_id, r.token): r.freq for r in vocab.token_freq(sents(rows)).collect()}["h", "c"] == 3
+    # the document is met again, without and with a key of its own
+    assert got(sents([*rows, (["g"], 1, 5, ["a", "b"])])) == sorted([*want, ("g", 1, 5, "ab")])
+    assert got(sents([*rows, (["g"], 1, 1, ["x", "a"]), (["g"], 2, 9, ["a"]), (["g"], 1, 1, ["b"])])) == sorted([*want, ("g", 1, 1, "ba")])
